@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .util import let, pieces, stored
 
 #: The transformed statistics, in the order of the vector, and the least standard deviation that each is given.
-VECTOR = {"mean_word": 0.10, "symbols": 0.03, "dup_lines": 0.05, "repeats": 0.05}
+VECTOR = {"mean_word": 0.10, "symbols": 0.05, "dup_lines": 0.25, "repeats": 0.15}
 DIMS = len(VECTOR)
 #: Fixed-point units of the vector: sums of integers don't depend on their order.
 UNIT = 4096
