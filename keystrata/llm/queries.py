@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, pieces, quality, token_files, urltree, warc, winnow
+from . import langid, mixing, pieces, quality, setjoin, token_files, urltree, warc, winnow
 from .util import table
 
 URL_RULES = [
@@ -45,6 +45,10 @@ def op5_pieces(spark: SparkSession, sf_dir: str, file: str | None = None) -> Dat
     return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.col("text").eqNullSafe(F.col("decoded")).alias("exact"), "ids")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.joined(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
