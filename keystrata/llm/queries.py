@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, pieces, quality, setjoin, token_files, urltree, warc, winnow
+from . import langid, mixing, pieces, quality, setjoin, suffix_dedup, token_files, urltree, warc, winnow
 from .util import table
 
 URL_RULES = [
@@ -37,6 +37,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str, file: str | None = None) -
     return token_files.round_trip(spark, table(spark, sf_dir, "documents"), file or tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str, file: str | None = None) -> DataFrame:
     """Per document: its pieces, and whether decoding gives the text back."""
     file = file or tokenizer_file("piece_bpe_32k.model")
