@@ -65,7 +65,7 @@ def targets(sizes: DataFrame, most: float = 3.0, weights: tuple[float, ...] = (1
 
 
 def mix(spark: SparkSession, docs: DataFrame, blocks_per_doc: int = 16, most: int = 3) -> DataFrame:
-    """(row_id, doc_id, source, size, source_size, target, taken) of every row of ``docs``.
+    """(row_id, doc_id, h, source, size, source_size, target, taken) of every row of ``docs``; h: the text's xxhash64.
 
     ``blocks_per_doc``: a block has the mean document's words divided by this
     (1 at least), which bounds how far a source's words can be from its target:
@@ -75,7 +75,7 @@ def mix(spark: SparkSession, docs: DataFrame, blocks_per_doc: int = 16, most: in
     words; a null source is a source of its own; rows that are repeated are
     documents of their own; an empty table gives no rows.
     """
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_h"))
+    sized = docs.select("doc_id", F.xxhash64("text").alias("h"), "source", n_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_h"))
     sized = stored(spark, sized.withColumn("_b", F.substring("_h", 1, 3)), "mix-sizes")
     name = F.struct(F.col("source").isNull().alias("n"), F.coalesce(F.col("source"), F.lit("")).alias("s"))
     sized = sized.withColumn("_s", name)
@@ -97,7 +97,7 @@ def mix(spark: SparkSession, docs: DataFrame, blocks_per_doc: int = 16, most: in
         .withColumn("row_id", F.concat_ws(":", "_b", F.col("row_id").cast("string")))
         .withColumn("a", F.col("b_from") + F.col("upto") - F.col("size"))
     )
-    placed = stored(spark, placed.select("row_id", "doc_id", "source", "_s", "size", "a"), "mix-places")
+    placed = stored(spark, placed.select("row_id", "doc_id", "h", "source", "_s", "size", "a"), "mix-places")
     first, last = F.expr(f"a div {block}"), F.expr(f"(a + size - 1) div {block}")
     parts = (
         placed.where("size > 0")
@@ -110,10 +110,23 @@ def mix(spark: SparkSession, docs: DataFrame, blocks_per_doc: int = 16, most: in
     return (
         placed.join(parts, ["_s", "row_id"], "left")
         .join(plan.select("_s", "source_size", "target"), "_s")
-        .select("row_id", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        .select("row_id", "doc_id", "h", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
 
 
+def mixed(spark: SparkSession, docs: DataFrame, blocks_per_doc: int = 16, most: int = 3) -> DataFrame:
+    """``docs`` as the mix has them: each row as often as its words are taken, a part taken counting as a whole; rows not taken go.
+
+    Rows that repeat id and text are each given as often as the most taken of
+    them. Columns stay as they are.
+    """
+    copies = mix(spark, docs, blocks_per_doc, most).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_copies"))
+    copies = stored(spark, copies, "mix-copies")
+    keyed = docs.withColumn("_t", F.xxhash64("text"))
+    out = keyed.join(copies, keyed["doc_id"].eqNullSafe(copies["_id"]) & (keyed["_t"] == copies["_h"]))
+    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 def _visits(spark: SparkSession, plan: DataFrame, slots: int, block: int, most: int) -> DataFrame:
     """(_s, blk, visits): how often the schedule takes each block of each source."""
     point = F.expr(f"(k div {2**20}) * {PHI_20!r}D + (k % {2**20}) * {PHI!r}D")

@@ -65,16 +65,16 @@ def _repeat_words(words: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the statistics of each whole text; a null text has none of anything."""
+    """doc_id, h (the text's xxhash64), lang, source and the statistics of each whole text; a null text has none of anything."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     of_words = lambda ws: F.struct(F.size(ws).alias("n_words"), _repeat_words(ws).alias("n_repeat_words"))
     of_pieces = lambda ps: F.struct(F.size(ps).alias("n_pieces"), let(F.filter(ps, lambda w: w != ""), of_words).alias("w"))
     of_lines = lambda ls: F.struct(F.size(ls).alias("n_lines"), (F.size(ls) - F.size(F.array_distinct(ls))).alias("n_dup_lines"))
-    found = docs.select("doc_id", "lang", "source", F.length(text).alias("n_chars"), (F.size(F.split(text, r"[#*$%&|<>]")) - 1).alias("n_symbols"), let(pieces(text), of_pieces).alias("p"), let(lines, of_lines).alias("l"))
+    found = docs.select("doc_id", F.xxhash64("text").alias("h"), "lang", "source", F.length(text).alias("n_chars"), (F.size(F.split(text, r"[#*$%&|<>]")) - 1).alias("n_symbols"), let(pieces(text), of_pieces).alias("p"), let(lines, of_lines).alias("l"))
     long = lambda c, name: c.cast("long").alias(name)
     return found.select(
-        "doc_id", "lang", "source", long(F.col("p.w.n_words"), "n_words"), long(F.col("n_chars") - F.col("p.n_pieces") + 1, "word_chars"), long(F.col("n_symbols"), "n_symbols"),
+        "doc_id", "h", "lang", "source", long(F.col("p.w.n_words"), "n_words"), long(F.col("n_chars") - F.col("p.n_pieces") + 1, "word_chars"), long(F.col("n_symbols"), "n_symbols"),
         long(F.col("l.n_lines"), "n_lines"), long(F.col("l.n_dup_lines"), "n_dup_lines"), long(F.col("p.w.n_repeat_words"), "n_repeat_words"),
     )
 
@@ -116,6 +116,12 @@ def with_verdicts(spark: SparkSession, docs: DataFrame, least_group: int = 200,
     return judged.withColumn("kept", kept).drop(*(f"x{i}" for i in range(DIMS)), "n_lines", *estimate.columns)
 
 
+def passed(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that :func:`with_verdicts` keeps, with their own columns."""
+    gone = stored(spark, with_verdicts(spark, docs, **options).where("not kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), "quality-rejected")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_h"]), "left_anti")
+
+
 def _pairs() -> list[tuple[int, int]]:
     return [(i, j) for i in range(DIMS) for j in range(i + 1)]
 

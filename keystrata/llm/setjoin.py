@@ -256,3 +256,13 @@ def joined(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 75,
     of_class = classes.join(comp, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("c"))
     out = every.select("doc_id", "n", "digest").join(of_class, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` whose id is their component's smallest; of rows that repeat an id, one."""
+    found = stored(spark, joined(spark, docs, **options), "join-joined")
+    gone = stored(spark, found.where("doc_id <> component_id").select("doc_id").distinct(), "join-gone")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 and doc_id is not null").limit(1).count():
+        kept = kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    return kept
