@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import keyed_values, others, sorted_sets
+
+_ALL = sorted_sets.QUERIES | keyed_values.QUERIES | others.QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {k: run for k, (run, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: text for k, (_, text) in _ALL.items() if text}
