@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ID = F.struct("ms", "seq")
+
+def _id() -> Column:
+    return F.struct("ms", "seq")
 
 
 def identified(new: DataFrame, order: str) -> DataFrame:
@@ -16,10 +18,10 @@ def identified(new: DataFrame, order: str) -> DataFrame:
 
 def xadd(x: DataFrame, new: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     """(table, rejected): entries with ids, in order; one whose id isn't above all before it, or is 0-0, is rejected."""
-    last = x.groupBy("key").agg(F.max(ID).alias("_last"))
-    before = F.max(ID).over(W.partitionBy("key").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    last = x.groupBy("key").agg(F.max(_id()).alias("_last"))
+    before = F.max(_id()).over(W.partitionBy("key").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
     told = new.join(last, "key", "left").withColumn("_before", before)
-    ok = F.coalesce(ID > F.col("_before"), F.lit(True)) & F.coalesce(ID > F.col("_last"), F.lit(True)) & ((F.col("ms") > 0) | (F.col("seq") > 0))
+    ok = F.coalesce(_id() > F.col("_before"), F.lit(True)) & F.coalesce(_id() > F.col("_last"), F.lit(True)) & ((F.col("ms") > 0) | (F.col("seq") > 0))
     told = told.withColumn("_ok", ok)
     return x.unionByName(told.where("_ok").select(*x.columns)), told.where("not _ok").drop("_ok", "_before", "_last")
 
@@ -33,9 +35,9 @@ def in_ids(low: tuple[int, int] | None = None, high: tuple[int, int] | None = No
     at = lambda i: F.struct(F.lit(i[0]).cast("long"), F.lit(i[1]).cast("long"))
     ok = F.lit(True)
     if low is not None:
-        ok = ok & (F.col("ms") >= low[0]) & (ID > at(low) if open_low else ID >= at(low))
+        ok = ok & (F.col("ms") >= low[0]) & (_id() > at(low) if open_low else _id() >= at(low))
     if high is not None:
-        ok = ok & (F.col("ms") <= high[0]) & (ID < at(high) if open_high else ID <= at(high))
+        ok = ok & (F.col("ms") <= high[0]) & (_id() < at(high) if open_high else _id() <= at(high))
     return ok
 
 
@@ -51,7 +53,7 @@ def xrange(x: DataFrame, ok: Column, count: int | None = None, desc: bool = Fals
 
 def xread(x: DataFrame, cursors: DataFrame, count: int | None = None) -> DataFrame:
     """Entries above each cursor (key, after_ms, after_seq); null: above the last one, so none."""
-    above = x.join(cursors, "key").where(ID > F.struct(F.col("after_ms").alias("ms"), F.col("after_seq").alias("seq"))).where("after_ms is not null")
+    above = x.join(cursors, "key").where(_id() > F.struct(F.col("after_ms").alias("ms"), F.col("after_seq").alias("seq"))).where("after_ms is not null")
     return _first(above.drop("after_ms", "after_seq"), count)
 
 
@@ -69,6 +71,6 @@ def xdel(x: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def xinfo(x: DataFrame) -> DataFrame:
-    out = x.groupBy("key").agg(F.count(F.lit(1)).alias("length"), F.min(ID).alias("a"), F.max(ID).alias("b"))
+    out = x.groupBy("key").agg(F.count(F.lit(1)).alias("length"), F.min(_id()).alias("a"), F.max(_id()).alias("b"))
     text = lambda c: F.concat_ws("-", F.col(f"{c}.ms").cast("string"), F.col(f"{c}.seq").cast("string"))
     return out.select("key", "length", text("a").alias("first_id"), text("b").alias("last_id"))

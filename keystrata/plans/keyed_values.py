@@ -31,8 +31,8 @@ def _l(f):
     return lambda spark, d: f(A.lists(spark, d))
 
 
-def _texts(column):
-    return lambda spark, d: A.strings(spark, d).select("key", column.alias("r"))
+def _texts(f):
+    return lambda spark, d: A.strings(spark, d).select("key", f(F.col("value")).alias("r"))
 
 
 def _wanted(c, m=3):
@@ -150,8 +150,6 @@ def _blpop(spark, d):
     return L.pop_first(A.lists(spark, d), asked, True)
 
 
-_GETRANGE = S.byte_range(F.col("value"), 2, 6)
-
 QUERIES = {
     "get": (_c(lambda c: S.get(c, _wanted(c), NOW)), sql("c", f", {_W} SELECT w.key, o.value FROM w LEFT JOIN (SELECT * FROM c WHERE {_LIVE}) o ON o.key = w.key")),
     "mget_positional": (lambda spark, d: S.get(A.strings(spark, d), spark.createDataFrame([(0, "doc:3"), (1, "doc:none"), (2, "doc:1"), (3, "doc:3")], "pos int, key string"), NOW), sql("k", ", a(pos, key) AS (VALUES (0,'doc:3'),(1,'doc:none'),(2,'doc:1'),(3,'doc:3')) SELECT a.pos, a.key, k.value FROM a LEFT JOIN k ON a.key = k.key")),
@@ -171,10 +169,10 @@ QUERIES = {
     "getset": (_c(lambda c: S.getset(c, _new(c).withColumnRenamed("pos", "seq"), NOW)[0].select("key", "value", "seq", "old")), sql("c", f", {_W}, ops AS (SELECT key, 'one' AS value, 0 AS seq FROM w UNION ALL SELECT key, 'two', 1 FROM w WHERE TRY_CAST(substr(key, 3) AS BIGINT) % 6 = 0) SELECT ops.key, ops.value, seq, CASE WHEN seq = 1 THEN 'one' ELSE o.value END AS old FROM ops LEFT JOIN (SELECT * FROM c WHERE {_LIVE}) o ON o.key = ops.key")),
     "delvx": (_c(lambda c: S.delete_if_same(c, _wanted(c).withColumn("value", F.lit("7")), NOW)[0]), sql("c", f", {_W} SELECT w.key, '7' AS value, CASE WHEN o.key IS NULL THEN 0 WHEN o.value = '7' THEN 1 ELSE -1 END AS reply FROM w LEFT JOIN (SELECT * FROM c WHERE {_LIVE}) o ON o.key = w.key")),
     "append": (_c(lambda c: S.append(c, _new(c), NOW)), sql("c", f", {_N}, a AS (SELECT new.key, coalesce(o.value, '') || CASE WHEN new.value = 'two' THEN 'onetwo' ELSE 'one' END AS value, o.etime_ms FROM new LEFT JOIN (SELECT * FROM c WHERE {_LIVE}) o ON o.key = new.key) SELECT * FROM a UNION ALL SELECT * FROM c WHERE key NOT IN (SELECT key FROM a)")),
-    "getrange": (_texts(F.hex(_GETRANGE)), sql("k", "SELECT key, hex(array_slice(encode(value), 3, 7)) AS r FROM k")),
-    "getrange_tail": (_texts(F.hex(S.byte_range(F.col("value"), -5, -2))), sql("k", "SELECT key, hex(array_slice(encode(value), greatest(octet_length(encode(value)) - 4, 1), octet_length(encode(value)) - 1)) AS r FROM k")),
-    "setrange": (_texts(F.sha2(S.overwrite_bytes(F.col("value"), 3, b"xyz"), 256)), sql("k", "SELECT key, sha256(array_slice(encode(value), 1, 3) || encode('xyz') || array_slice(encode(value), 7, octet_length(encode(value)))) AS r FROM k")),
-    "strlen": (_texts(S.byte_length(F.col("value"))), sql("k", "SELECT key, CAST(octet_length(encode(value)) AS BIGINT) AS r FROM k")),
+    "getrange": (_texts(lambda v: F.hex(S.byte_range(v, 2, 6))), sql("k", "SELECT key, hex(array_slice(encode(value), 3, 7)) AS r FROM k")),
+    "getrange_tail": (_texts(lambda v: F.hex(S.byte_range(v, -5, -2))), sql("k", "SELECT key, hex(array_slice(encode(value), greatest(octet_length(encode(value)) - 4, 1), octet_length(encode(value)) - 1)) AS r FROM k")),
+    "setrange": (_texts(lambda v: F.sha2(S.overwrite_bytes(v, 3, b"xyz"), 256)), sql("k", "SELECT key, sha256(array_slice(encode(value), 1, 3) || encode('xyz') || array_slice(encode(value), 7, octet_length(encode(value)))) AS r FROM k")),
+    "strlen": (_texts(S.byte_length), sql("k", "SELECT key, CAST(octet_length(encode(value)) AS BIGINT) AS r FROM k")),
     "incr": _incr(1, 1),
     "incrby": _incr(41, 41),
     "decr": _incr(-1, "(-1)"),

@@ -11,6 +11,7 @@ from ..operators import pubsub as P
 from ..operators import sketches as Q
 from ..operators import streams as X
 from ..operators import transactions as T
+from ..registry import registry
 from . import adapters as A
 from .adapters import sql
 
@@ -166,5 +167,6 @@ QUERIES = {
     "slots_rebalance": (lambda spark, d: M.rebalanced(M.slot_census(A.keyspace(spark, d)), 3).groupBy("group").agg(F.count(F.lit(1)).alias("slots")), None),
     "select_db": (lambda spark, d: A.keyspace(spark, d).withColumn("db", F.substring("key", 3, 20).cast("long") % 3).where("db = 1").select("key", "type"), sql("ks", "SELECT key, type FROM ks WHERE CAST(substr(key, 3) AS BIGINT) % 3 = 1")),
     "flushdb": (lambda spark, d: A.keyspace(spark, d).withColumn("db", F.substring("key", 3, 20).cast("long") % 3).where("db <> 1").groupBy("db").agg(F.count(F.lit(1)).alias("n")), sql("ks", "SELECT CAST(substr(key, 3) AS BIGINT) % 3 AS db, count(*) AS n FROM ks WHERE CAST(substr(key, 3) AS BIGINT) % 3 <> 1 GROUP BY 1")),
+    "command_registry": (lambda spark, d: registry(spark).groupBy("status").agg(F.count(F.lit(1)).alias("commands")), None),
     "echo": (lambda spark, d: spark.range(1).select(F.lit("hello").alias("msg")), "SELECT 'hello' AS msg"),
 }
