@@ -122,9 +122,12 @@ def mixed(spark: SparkSession, docs: DataFrame, blocks_per_doc: int = 16, most:
     """
     copies = mix(spark, docs, blocks_per_doc, most).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_copies"))
     copies = stored(spark, copies, "mix-copies")
-    keyed = docs.withColumn("_t", F.xxhash64("text"))
-    out = keyed.join(copies, keyed["doc_id"].eqNullSafe(copies["_id"]) & (keyed["_t"] == copies["_h"]))
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    # Columns go under numbers meanwhile, so that none of their names can clash.
+    at = docs.columns.index
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    keyed = docs.toDF(*inner).withColumn("_t", F.xxhash64(f"c{at('text')}"))
+    out = keyed.join(copies, F.col(f"c{at('doc_id')}").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h")))
+    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*inner).toDF(*docs.columns)
 
 
 def _visits(spark: SparkSession, plan: DataFrame, slots: int, block: int, most: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, pieces, quality, setjoin, suffix_dedup, token_files, urltree, warc, winnow
+from . import langid, mixing, oracles, pieces, quality, setjoin, suffix_dedup, token_files, urltree, warc, winnow
 from .util import table
 
 URL_RULES = [
@@ -77,4 +77,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have no SQL: robust estimates, hashes, vocabularies, a trained network."""
+    return {
+        "op4_suffix_dedup": oracles.suffix_dedup(),
+        "op6_jaccard_join": oracles.jaccard_join(),
+        "op7_mixing": oracles.mix(),
+        "op8_url_tree": oracles.url_tree(URL_RULES),
+        "op9_warc": oracles.warc(),
+    }

@@ -283,7 +283,10 @@ def deduplicated(spark: SparkSession, docs: DataFrame, length: int = 400, gram:
     that loses nothing, null included, stays as it is; one that loses all is
     empty and stays a row.
     """
-    names = docs.columns
+    # Columns go under numbers meanwhile, so that none of their names can clash.
+    names, text_at = docs.columns, docs.columns.index("text")
+    inner = [f"c{i}" for i in range(len(names))]
+    numbered = docs.toDF(*inner).withColumns({"doc_id": F.col(f"c{names.index('doc_id')}"), "text": F.col(f"c{text_at}")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,7 +294,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, length: int = 400, gram:
             for text, at, count in zip(b.column("_text"), b.column("_at").to_pylist(), b.column("_len").to_pylist(), strict=True):
                 text = text.as_py()
                 new.append(None if text is None else _kept(text, _removed(len(text), at, count, length)).decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else b.column(c) for c in names], names)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == text_at else b.column(c) for i, c in enumerate(inner)], inner)
 
-    others = [c for c in names if c != "text"]
-    return _with_spans(spark, docs, length, gram, *others).mapInArrow(run, docs.schema)
+    others = [c for i, c in enumerate(inner) if i != text_at]
+    return _with_spans(spark, numbered, length, gram, *others).mapInArrow(run, docs.toDF(*inner).schema).toDF(*names)
