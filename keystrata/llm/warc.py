@@ -1,7 +1,8 @@
 """WARC files: a writer over Spark's text sink, and a reader that salvages damaged archives.
 
-The writer makes one row of a record and lets Spark write rows ended by CRLF,
-so archives appear by Spark's commit protocol in any store. The reader checks
+The writer makes one row of a record, a gzip member of its own, and lets Spark
+write the rows, so archives appear by Spark's commit protocol in any store; the
+line ends that the sink puts between rows are gzip members without content. The reader checks
 each record's lengths and digests; after a failed check it looks for the next
 version line, or the next gzip member, that starts a good record, and logs the
 bytes between as a quarantined gap.
@@ -184,9 +185,27 @@ def records(spark: SparkSession, pages: DataFrame, least_bytes: int = 100, date:
     return rows.select("page_id", F.concat(head, F.lit("\r\n\r\n"), block, F.lit("\r\n")).alias("record"))
 
 
+#: A gzip member without content.
+NOTHING = b"\x1f\x8b\x08\0\0\0\0\0\0\xff\x03\0\0\0\0\0\0\0\0\0"
+
+
+def member(record: bytes) -> bytes:
+    """One gzip member, the same bytes for the same record."""
+    pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return pack.compress(record) + pack.flush()
+
+
 def written(spark: SparkSession, made: DataFrame, path: str, file_records: int = 2000) -> str:
     """Write records to archives of ``file_records`` records at most under ``path``."""
-    made.select("record").write.option("lineSep", "\r\n").option("maxRecordsPerFile", file_records).text(path)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                rows = whole.slice(at, 256).column(0)
+                yield pa.RecordBatch.from_arrays([pa.array([member(r.as_py().encode("utf-8", "surrogatepass") + b"\r\n") for r in rows], pa.binary())], ["record"])
+
+    out = made.select("record").mapInArrow(packed, "record binary").select(F.col("record").cast("string"))
+    out.write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).option("maxRecordsPerFile", file_records).text(path)
     return path
 
 
