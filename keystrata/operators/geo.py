@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
+
 # Fixed values of the grid, the earth's radius in metres, units in metres, and the text alphabet.
 STEP = 26
 LON, LAT = (-180.0, 180.0), (-85.05112878, 85.05112878)
@@ -18,14 +20,14 @@ _MASKS = [(16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0
 
 def _spread(v: Column) -> Column:
     for shift, mask in _MASKS:
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        v = let(v, lambda x: x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask)))  # noqa: B023
     return v
 
 
 def _squeeze(v: Column) -> Column:
     v = v.bitwiseAND(F.lit(_MASKS[-1][1]))
     for (shift, _), mask in zip(reversed(_MASKS), [m for _, m in reversed(_MASKS[:-1])] + [0xFFFFFFFF], strict=True):
-        v = v.bitwiseOR(F.shiftright(v, shift)).bitwiseAND(F.lit(mask))
+        v = let(v, lambda x: x.bitwiseOR(F.shiftright(x, shift)).bitwiseAND(F.lit(mask)))  # noqa: B023
     return v
 
 
@@ -39,7 +41,8 @@ def encode(lon: Column, lat: Column, lat_range: tuple[float, float] = LAT) -> Co
 
 def decode(score: Column) -> tuple[Column, Column]:
     """(lon, lat) of the cell's centre."""
-    centre = lambda i, low, high: ((low + i / float(1 << STEP) * (high - low)) + (low + (i + 1) / float(1 << STEP) * (high - low))) / 2
+    edge = lambda i, low, high: low + i / float(1 << STEP) * (high - low)
+    centre = lambda i, low, high: let(i, lambda x: (edge(x, low, high) + edge(x + 1, low, high)) / 2)
     return centre(_squeeze(F.shiftright(score, 1)), *LON), centre(_squeeze(score), *LAT)
 
 
@@ -72,8 +75,8 @@ def geohash(g: DataFrame, asked: DataFrame, length: int = 10) -> DataFrame:
     """The usual text of each asked member's place, whose latitudes reach from -90 to 90."""
     lon, lat = decode(F.col("score"))
     bits = encode(lon, lat, (-90.0, 90.0))
-    letter = lambda i: F.substring(F.lit(ALPHABET), (F.shiftright(bits, 52 - 5 * (i + 1)).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1))
-    return asked.join(g, ["key", "member"], "left").select(*asked.columns, F.when(F.col("score").isNotNull(), F.concat(*[letter(i) for i in range(length)])).alias("geohash"))
+    letter = lambda v, i: F.substring(F.lit(ALPHABET), (F.shiftright(v, 52 - 5 * (i + 1)).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1))
+    return asked.join(g, ["key", "member"], "left").select(*asked.columns, F.when(F.col("score").isNotNull(), let(bits, lambda v: F.concat(*[letter(v, i) for i in range(length)]))).alias("geohash"))
 
 
 def georadius(g: DataFrame, asked: DataFrame, unit: str = "m", count: int | None = None, desc: bool = False) -> DataFrame:

@@ -66,9 +66,9 @@ def linsert(t: DataFrame, asked: DataFrame, before: bool) -> DataFrame:
 
 def linsert_replies(t: DataFrame, asked: DataFrame) -> DataFrame:
     """The new length; -1 without such a pivot, 0 without such a list."""
-    hit = t.join(asked.withColumnRenamed("pivot", "value"), ["key", "value"], "left_semi").select("key").distinct().withColumn("_hit", F.lit(1))
+    hit = t.join(asked.withColumnRenamed("pivot", "value"), ["key", "value"], "left_semi").select("key", F.col("value").alias("pivot")).distinct().withColumn("_hit", F.lit(1))
     reply = F.when(F.col("length").isNull(), 0).when(F.col("_hit").isNull(), -1).otherwise(F.col("length") + 1)
-    return asked.join(llen(t), "key", "left").join(hit, "key", "left").select("key", reply.cast("long").alias("reply"))
+    return asked.join(llen(t), "key", "left").join(hit, ["key", "pivot"], "left").select("key", reply.cast("long").alias("reply"))
 
 
 def lrem(t: DataFrame, value: str, count: int) -> DataFrame:
