@@ -10,7 +10,9 @@ decoding returns every text exactly.
 
 from __future__ import annotations
 
+import functools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BLANK = "▁"
-#: Stretches whose best pieces are kept; emptied when full.
-CACHED = 300_000
+#: Stretches whose best pieces are kept; those met in one text only go when there are more.
+CACHED = 200_000
 
 
 class Pieces:
@@ -43,12 +45,17 @@ class Pieces:
         self.unknown = min((scores[i] for i in usable), default=0.0) - 10.0
         apart = all(BLANK not in names[i].lstrip(BLANK) for i in usable)
         self.stretch = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+" if apart else r"(?s).+")
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.decoded = [n.replace(BLANK, " ") for n in names]
+        self.known: dict[str, bytes] = {}
+        self.once: set[str] = set()
+        self.decoded = np.array([n.replace(BLANK, " ") for n in names], object)
+        self.is_byte = np.zeros(len(names), bool)
+        self.is_byte[byte_ids] = True
         self.byte_of = {i: b for b, i in enumerate(byte_ids)}
 
     @classmethod
+    @functools.cache
     def load(cls, file: str) -> Pieces:
+        """The model in a file, read once by each Python worker."""
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=file)
@@ -60,60 +67,68 @@ class Pieces:
     def best(self, text: str) -> tuple[int, ...]:
         """The ids of the best-scored segmentation of escaped text; of equal scores, the one whose last pieces are longer."""
         n = len(text)
-        score, back = [0.0] * (n + 1), [(0, -1)] * (n + 1)
-        done = 0  # positions up to here have their best score
-
-        def unknowns(upto: int) -> None:
-            nonlocal done
-            while done < upto:
-                score[done + 1], back[done + 1] = score[done] + self.unknown, (1, -1)
-                done += 1
-
-        for last, (length, s, i) in self.automaton.iter(text):
-            at = last + 1
-            if done < at:
-                unknowns(at - 1)
-                if text[last] in self.single:
-                    score[at] = -np.inf
-                else:
-                    score[at], back[at] = score[last] + self.unknown, (1, -1)
-                done = at
-            new = score[at - length] + s
-            if new > score[at]:
-                score[at], back[at] = new, (length, i)
-        unknowns(n)
+        score, back = [-np.inf] * (n + 1), [None] * (n + 1)
+        score[0] = 0.0
+        if self.single.issuperset(text):  # every position is reached by pieces
+            for last, piece in self.automaton.iter(text):
+                new = score[last + 1 - piece[0]] + piece[1]
+                if new > score[last + 1]:
+                    score[last + 1], back[last + 1] = new, piece
+        else:
+            found: list[list] = [[] for _ in text]
+            for last, piece in self.automaton.iter(text):
+                found[last].append(piece)
+            for last, some in enumerate(found):
+                if text[last] not in self.single:
+                    some.append((1, self.unknown, -1))
+                for piece in some:
+                    new = score[last + 1 - piece[0]] + piece[1]
+                    if new > score[last + 1]:
+                        score[last + 1], back[last + 1] = new, piece
         out: list[int] = []
         while n:
-            length, i = back[n]
-            out += [i] if i >= 0 else [self.byte_ids[b] for b in reversed(text[n - 1].encode("utf-8", "surrogatepass"))]
+            length, _, i = back[n]
+            if i >= 0:
+                out.append(i)
+            else:
+                out += [self.byte_ids[b] for b in reversed(text[n - 1].encode("utf-8", "surrogatepass"))]
             n -= length
-        return tuple(reversed(out))
+        out.reverse()
+        return tuple(out)
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def packed(self, text: str) -> bytes:
+        """The text's ids as little-endian 32-bit integers."""
+        out = []
         if not text:
-            return out
-        literal = [self.byte_ids[b] for b in BLANK.encode()]
+            return b""
+        literal = np.array([self.byte_ids[b] for b in BLANK.encode()], "<i4").tobytes()
         for k, part in enumerate(text.split(BLANK)):
             if k:
-                out += literal
-            for w in self.stretch.findall(("" if k else BLANK) + part.replace(" ", BLANK)):
-                got = self.known.get(w)
-                if got is None:
-                    if len(self.known) >= CACHED:
-                        self.known.clear()
-                    got = self.best(w)
-                    if len(w) < 64:
-                        self.known[w] = got
-                out += got
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        if not ids:
+                out.append(literal)
+            stretches = self.stretch.findall(("" if k else BLANK) + part.replace(" ", BLANK))
+            met = set(stretches)
+            fresh = met.difference(self.known)
+            self.once -= met
+            if len(self.known) + len(fresh) > CACHED:
+                for w in self.once if len(self.once) > CACHED // 4 else list(self.known):
+                    del self.known[w]
+                self.once = set()
+                fresh = met.difference(self.known)
+            self.known.update([(w, array("i", self.best(w)).tobytes()) for w in fresh])
+            self.once |= fresh
+            out += map(self.known.__getitem__, stretches)
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<i4").tolist()
+
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        if not len(ids):
             return ""
-        if self.byte_of.keys().isdisjoint(ids):
-            return "".join([self.decoded[i] for i in ids])[1:]
-        raw = b"".join([bytes((self.byte_of[i],)) if i in self.byte_of else self.decoded[i].encode() for i in ids])
+        ids = np.asarray(ids)
+        if not self.is_byte[ids].any():
+            return "".join(self.decoded[ids].tolist())[1:]
+        raw = b"".join([bytes((self.byte_of[i],)) if i in self.byte_of else self.decoded[i].encode() for i in ids.tolist()])
         return raw.decode("utf-8", "surrogatepass")[1:]
 
 
@@ -131,8 +146,11 @@ def encoded(docs: DataFrame, file: str, text: str = "text", ids: str = "ids") ->
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                got = [None if t is None else pieces.encode(t) for t in b.column(text).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.list_(pa.int32()))], [*b.schema.names, ids])
+                got = [None if t is None else pieces.packed(t) for t in b.column(text).to_pylist()]
+                ends = np.cumsum([0] + [len(g or b"") // 4 for g in got]).astype(np.int32)
+                flat = pa.array(np.frombuffer(b"".join([g or b"" for g in got]), "<i4"))
+                lists = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([g is None for g in got]))
+                yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, ids])
 
     return kept.mapInArrow(run, schema)
 
@@ -147,7 +165,9 @@ def decoded(rows: DataFrame, file: str, ids: str = "ids", text: str = "decoded")
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                got = [None if t is None else pieces.decode(t) for t in b.column(ids).to_pylist()]
+                lists = b.column(ids)
+                flat, ends = np.asarray(lists.values), np.asarray(lists.offsets)
+                got = [pieces.decode(flat[i:j]) if ok else None for i, j, ok in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], [*b.schema.names, text])
 
     return kept.mapInArrow(run, schema)
