@@ -10,7 +10,7 @@ documents' tokens or the metadata alone.
 
 from __future__ import annotations
 
-import re
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -21,54 +21,89 @@ from pyspark.sql import functions as F
 
 from .util import new_path, stored
 
-#: Words of a batch are looked up here before the tokenizer sees them; emptied when full.
-CACHED = 300_000
-_ODD = re.compile(r" \s|\s ")
+#: Stretches that are looked up before the tokenizer sees them; those met in one batch only go when there are more.
+CACHED = 500_000
+#: A blank beside white space.
+_ODD = [x for c in map(chr, range(0x3001)) if c.isspace() for x in {f" {c}", f"{c} "}]
 
 
 class Encoder:
-    """Ids by the tokenizers library, each distinct stretch between single blanks encoded once.
+    """Ids by the tokenizers library, each distinct stretch from one blank to the next encoded once.
 
     A byte-level vocabulary's pre-tokenizer never joins characters across a
     blank that stands between two others, and gives that blank to what follows.
-    So a text is cut before each such blank; texts in which a blank touches
-    other white space are encoded whole.
+    So a text is cut before each such blank. Stretches not met before are
+    encoded in long runs, and told apart by the bytes that each id stands for.
+    Texts in which a blank touches other white space are encoded whole.
     """
 
     def __init__(self, file: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
+        # In a byte-level vocabulary each character of an entry stands for one byte.
+        self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for entry, i in self.tokenizer.get_vocab().items():
+            self.width[i] = len(entry)
         self.known: dict[str, bytes] = {}
+        self.once: set[str] = set()
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, fresh: list[str]) -> None:
+        for at in range(0, len(fresh), 4096):
+            some = fresh[at : at + 4096]
+            ids = np.frombuffer(self._plain(["".join(some)])[0], "<u4")
+            sizes = np.diff(np.flatnonzero(np.frombuffer(("\0" + "\0".join(some) + "\0").encode(), np.uint8) == 0)) - 1
+            ends = (4 * (np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes)) + 1)).tolist()
+            raw = ids.tobytes()
+            self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        cut: list[list[str] | None] = []
-        for t in texts:
-            if _ODD.search(t) or t[:1] == " " or t[-1:].isspace():
-                cut.append(None)
+        whole, cut = [], []
+        for i, t in enumerate(texts):
+            if t[:1] == " " or t[-1:].isspace() or "\0" in t or any(x in t for x in _ODD):
+                whole.append(i)
             else:
-                cut.append(t.replace(" ", "\0 ").split("\0") if "\0" not in t else None)
-        fresh = {w for ws in cut if ws for w in ws} - self.known.keys()
+                first, *rest = t.replace(" ", "\0 ").split("\0")
+                cut.append((i, first, rest))
+        met = set().union(*[ws for _, _, ws in cut])
+        fresh = met.difference(self.known)
+        self.once -= met
         if len(self.known) + len(fresh) > CACHED:
-            self.known = {}
-            fresh = {w for ws in cut if ws for w in ws}
-        new = sorted(fresh)
-        self.known.update(zip(new, self._plain(new), strict=True))
-        whole = iter(self._plain([t for t, ws in zip(texts, cut, strict=True) if ws is None]))
+            gone = self.once if len(self.once) > CACHED // 4 else list(self.known)
+            for w in gone:
+                del self.known[w]
+            self.once = set()
+            fresh = met.difference(self.known)
+        self._learn(list(fresh))
+        self.once |= fresh
+        out = [b""] * len(texts)
         get = self.known.__getitem__
-        return [next(whole) if ws is None else b"".join(map(get, ws)) for ws in cut]
+        for (i, _, ws), first in zip(cut, self._plain([f for _, f, _ in cut]), strict=True):
+            out[i] = first + b"".join(map(get, ws))
+        for i, ids in zip(whole, self._plain([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        return out
+
+
+@functools.cache
+def _encoder(file: str) -> Encoder:
+    """One for each Python worker: what its tasks have met stays known."""
+    return Encoder(file)
 
 
 def _encoded(file: str, end_id: int, batch: int = 256):
     """Batches of (doc_id, text) to batches of (doc_id, ids binary): ids of each whole text with the end id; null is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(file)
+        encoder = _encoder(file)
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
@@ -79,19 +114,18 @@ def _encoded(file: str, end_id: int, batch: int = 256):
     return run
 
 
-def written(spark: SparkSession, docs: DataFrame, file: str, end_id: int, path: str, part_bytes: int = 16 << 20, row_group: int = 32 << 20, page: int = 256 << 10, encoding: str = "delta") -> str:
+def written(spark: SparkSession, docs: DataFrame, file: str, end_id: int, path: str, parts: int | None = None, row_group: int = 32 << 20, page: int = 256 << 10, encoding: str = "delta") -> str:
     """Write ids of ``docs`` (doc_id, text) in ascending id order as Parquet files under ``path``.
 
     Columns: part (the file's place among all), seq (the row's place in its
-    part), doc_id, n_tokens, ids list<int>. Each part is one range of ids of
-    about ``part_bytes`` of text. ``encoding``: delta or dictionary for the
-    ids. Rows of equal ids keep one order in the file; null ids come first.
+    part), doc_id, n_tokens, ids list<int>. Each part is one range of ids; there are
+    ``parts`` of them, or as many as ``docs`` has. ``encoding``: delta or
+    dictionary for the ids. Rows of equal ids keep one order in the file; null ids come first.
     """
     if encoding not in ("delta", "dictionary"):
         raise ValueError(encoding)
-    size, = docs.agg(F.sum(F.octet_length("text"))).first()
-    parts = max(1, spark.sparkContext.defaultParallelism, (size or 0) // part_bytes)
-    ranged = docs.select("doc_id", "text").repartitionByRange(int(parts), "doc_id").sortWithinPartitions("doc_id")
+    parts = parts or max(docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    ranged = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
