@@ -26,6 +26,8 @@ VERSION = b"WARC/1.0"
 _START = re.compile(rb"WARC/1\.[01]\r\n")
 _END = b"\r\n\r\n"
 _GZIP = b"\x1f\x8b\x08"
+#: Bytes that are unpacked at once.
+STEP = 1 << 14
 
 
 @dataclass
@@ -118,9 +120,13 @@ def salvaged(data: bytes) -> Salvage:
         try:
             if data[at : at + 3] != _GZIP:
                 raise zlib.error("no gzip member")
-            plain = member.decompress(data[at:])
+            parts, to = [], at
+            while not member.eof and to < len(data):  # in steps, since what is left over is copied
+                parts.append(member.decompress(data[to : to + STEP]))
+                to = min(to + STEP, len(data))
             if not member.eof:
                 raise zlib.error("the member has no end")
+            end = to - len(member.unused_data)
         except zlib.error as e:
             bad_from, why = (at, str(e)) if bad_from is None else (bad_from, why)
             found = data.find(_GZIP, at + 1)
@@ -130,8 +136,8 @@ def salvaged(data: bytes) -> Salvage:
             out.gaps.append(Gap(bad_from, at - bad_from, why))
             bad_from = None
         inner = Salvage()
-        _plain(plain, inner)
-        length = len(data) - at - len(member.unused_data)
+        _plain(b"".join(parts), inner)
+        length = end - at
         out.records += [Record(r.headers, r.block, at, length) for r in inner.records]
         out.gaps += [Gap(at, length, g.reason) for g in inner.gaps]
         at += length
