@@ -28,7 +28,7 @@ _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     if len(_powers[name]) < n:
         with np.errstate(over="ignore"):
-            _powers[name] = np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(max(n, 1 << 20), base, np.uint64))))
+            _powers[name] = np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(max(n, 1 << 16), base, np.uint64))))
     return _powers[name]
 
 

@@ -409,3 +409,28 @@ def test_clashing_column_names(spark, rows):
         out = f(spark, df)
         assert out.columns == df.columns
         assert all(r[n] == r["doc_id"] + i for r in out.collect() for i, n in enumerate(names))
+
+
+def test_jaccard_join_over_many_hand_overs(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(setjoin, "HELD", 300)
+    monkeypatch.setattr(setjoin, "COMMON", 3)
+    monkeypatch.setattr(setjoin, "BATCH_BYTES", 2000)
+    got = setjoin.joined(spark, docs).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+
+
+def test_shared_counts_are_never_too_low(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(setjoin, "HELD", 300)
+    monkeypatch.setattr(setjoin, "COMMON", 3)
+    packed = setjoin._summed_up(docs, 5, 64).cache()
+    got = {r["id"]: r["shared"] for r in setjoin._shared(packed, 64).collect()}
+    texts = {(t or "").encode() for _, t, *_ in rows}
+    sets = {}
+    for t in texts:
+        h, n = shingles.shingle_sets([t])
+        if n[0]:
+            sets[hashlib.blake2b(h.tobytes(), digest_size=16).digest()] = set(h.tolist())
+    df = Counter(x for s in sets.values() for x in s)
+    for d, s in sets.items():
+        want = sum(df[x] > 1 for x in s)
+        assert got.get(int.from_bytes(d[:8], "big", signed=True), 0) >= want
