@@ -10,7 +10,6 @@ decoding returns every text exactly.
 
 from __future__ import annotations
 
-import functools
 import re
 from array import array
 from collections.abc import Iterator
@@ -53,9 +52,8 @@ class Pieces:
         self.byte_of = {i: b for b, i in enumerate(byte_ids)}
 
     @classmethod
-    @functools.cache
     def load(cls, file: str) -> Pieces:
-        """The model in a file, read once by each Python worker."""
+        """The model in a file; a task reads its own, so that idle workers hold none."""
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=file)

@@ -24,7 +24,8 @@ from .shingles import mixed
 from .suffixes import common_prefixes, suffix_array
 from .util import dropped, released, stored
 
-BATCH_BYTES = 2 << 20
+#: Text that a task works on at once.
+BATCH_BYTES = 1 << 19
 _POS_BITS = np.uint64(24)
 _rng = np.random.default_rng(20240202)
 _BYTE = [_rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
@@ -35,7 +36,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     if len(_powers.get(base, ())) < n:
         with np.errstate(over="ignore"):
-            _powers[base] = np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(max(n, 1 << 21), np.uint64(base % 2**64)))))
+            _powers[base] = np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(max(n, 1 << 19), np.uint64(base % 2**64)))))
     return _powers[base]
 
 
@@ -159,7 +160,7 @@ def _judged(length: int):
 
         for b in batches:
             for r in zip(*(b.column(c).to_pylist() for c in ("anchor", "f1", "f2", "n", "weight", "text")), strict=True):
-                if size >= BATCH_BYTES // 2 and r[0] != held[-1][0]:
+                if size >= BATCH_BYTES and r[0] != held[-1][0]:
                     yield from judge(held)
                     held, size = [], 0
                 held.append(r)
