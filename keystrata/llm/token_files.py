@@ -16,15 +16,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .util import new_path, stored
 
-#: Stretches that are looked up before the tokenizer sees them; those met in one batch only go when there are more.
+#: Stretches whose ids are kept; those met in one batch only go when there are more.
 CACHED = 500_000
-#: A blank beside white space.
-_ODD = [x for c in map(chr, range(0x3001)) if c.isspace() for x in {f" {c}", f"{c} "}]
+#: Stretches that the tokenizer sees as one text.
+RUN = 128
+#: Characters that Python or the vocabulary's pre-tokenizer takes as white space.
+_SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Texts that can't be cut at their blanks: a blank at either end or beside white space, white space at the end.
+_WHOLE = rf"\A |[{_SPACE}]\z| [{_SPACE}]|[{_SPACE}] |\x{{0}}"
+
+#: Stretches of letters: one piece to the pre-tokenizer, which needs no search for where it ends.
+_LETTERS = r"\A[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+\z"
 
 
 class Encoder:
@@ -33,8 +41,10 @@ class Encoder:
     A byte-level vocabulary's pre-tokenizer never joins characters across a
     blank that stands between two others, and gives that blank to what follows.
     So a text is cut before each such blank. Stretches not met before are
-    encoded in long runs, and told apart by the bytes that each id stands for.
-    Texts in which a blank touches other white space are encoded whole.
+    encoded in runs, and told apart by the bytes that each id stands for; runs
+    of letters alone are cut at their blanks and at nothing else. Stretches met
+    before have their ids in one pool. Texts in which a blank touches
+    other white space are one stretch.
     """
 
     def __init__(self, file: str):
@@ -42,55 +52,100 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
-        self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
+        self.tokenizer, self.at_blanks = Tokenizer.from_file(file), Tokenizer.from_file(file)
+        self.tokenizer.encode_special_tokens = self.at_blanks.encode_special_tokens = True  # special strings in a text are ordinary text
+        self.at_blanks.pre_tokenizer = Sequence([Split(" ", "merged_with_next"), ByteLevel(add_prefix_space=False, use_regex=False)])
         # In a byte-level vocabulary each character of an entry stands for one byte.
         self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for entry, i in self.tokenizer.get_vocab().items():
             self.width[i] = len(entry)
-        self.known: dict[str, bytes] = {}
-        self.once: set[str] = set()
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, fresh: list[str]) -> None:
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            ids = np.frombuffer(self._plain(["".join(some)])[0], "<u4")
-            sizes = np.diff(np.flatnonzero(np.frombuffer(("\0" + "\0".join(some) + "\0").encode(), np.uint8) == 0)) - 1
-            ends = (4 * (np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes)) + 1)).tolist()
-            raw = ids.tobytes()
-            self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        whole, cut = [], []
-        for i, t in enumerate(texts):
-            if t[:1] == " " or t[-1:].isspace() or "\0" in t or any(x in t for x in _ODD):
-                whole.append(i)
-            else:
-                first, *rest = t.replace(" ", "\0 ").split("\0")
-                cut.append((i, first, rest))
-        met = set().union(*[ws for _, _, ws in cut])
-        fresh = met.difference(self.known)
-        self.once -= met
-        if len(self.known) + len(fresh) > CACHED:
-            gone = self.once if len(self.once) > CACHED // 4 else list(self.known)
-            for w in gone:
-                del self.known[w]
-            self.once = set()
-            fresh = met.difference(self.known)
-        self._learn(list(fresh))
-        self.once |= fresh
-        out = [b""] * len(texts)
-        get = self.known.__getitem__
-        for (i, _, ws), first in zip(cut, self._plain([f for _, f, _ in cut]), strict=True):
-            out[i] = first + b"".join(map(get, ws))
-        for i, ids in zip(whole, self._plain([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool = np.empty(0, np.int32)
+        self.begin, self.size, self.batches = (np.empty(0, np.int64) for _ in range(3))
+
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, fresh: list[str], lengths: np.ndarray, letters: int) -> None:
+        """Keep the ids of stretches (without their blank) of so many bytes each; the first ``letters`` are letters alone."""
+        runs, counts = [], []
+        for tokenizer, first, last in ((self.at_blanks, 0, letters), (self.tokenizer, letters, len(fresh))):
+            for at in range(first, last, RUN):
+                some = slice(at, min(at + RUN, last))
+                ids = self._ids(tokenizer, [" " + " ".join(fresh[some])])[0]
+                ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(lengths[some] + 1)) + 1
+                runs.append(ids)
+                counts.append(np.diff(ends, prepend=0))
+        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+        size = np.concatenate(counts)
+        self.begin = np.concatenate((self.begin, len(self.pool) + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size))
+        self.batches = np.concatenate((self.batches, np.zeros(len(fresh), np.int64)))
+        self.pool = np.concatenate((self.pool, *runs))
+
+    def _shrink(self) -> None:
+        """Keep what was met in several batches; nothing, if that is most of it."""
+        stay = np.flatnonzero(self.batches > 1)
+        if len(stay) > CACHED * 3 // 4:
+            self._forget()
+            return
+        words = list(self.known)
+        self.known = {words[i]: k for k, i in enumerate(stay.tolist())}
+        self.pool = self.pool[_spread(self.begin[stay], self.size[stay])]
+        self.size, self.batches = self.size[stay], self.batches[stay]
+        self.begin = np.cumsum(self.size) - self.size
+
+    def encode(self, texts: pa.Array, end: list[int] = ()) -> pa.ListArray:
+        """Each text's ids with those of ``end`` after them; a null text is empty."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, _WHOLE)
+        cut = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        offsets, words = np.asarray(cut.offsets).astype(np.int64), cut.flatten()
+        offsets = offsets - offsets[0]
+        heads = offsets[:-1]
+        firsts = self._ids(self.tokenizer, pc.if_else(whole, texts, words.take(pa.array(heads))).to_pylist())
+        coded = words.dictionary_encode()
+        index, distinct = np.asarray(coded.indices), coded.dictionary
+        inner = np.ones(len(words), bool)
+        inner[heads] = False
+        used = np.flatnonzero(np.bincount(index[inner], minlength=len(distinct)))
+        names = distinct.take(pa.array(used))
+        listed = names.to_pylist()
+        if len(self.known) + len(listed) > CACHED:
+            self._shrink()
+        place = np.array([self.known.get(w, -1) for w in listed], np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            plain = pc.match_substring_regex(names.take(pa.array(new)), _LETTERS).to_numpy(zero_copy_only=False)
+            new = np.concatenate((new[plain], new[~plain]))
+            place[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self._learn([listed[i] for i in new.tolist()], pc.binary_length(names.take(pa.array(new))).to_numpy().astype(np.int64), int(plain.sum()))
+        self.batches[place] += 1
+        # First stretches and the end are behind the pool for this batch only.
+        of = np.zeros(len(distinct), np.int64)
+        of[used] = place
+        at = of[index]
+        at[heads] = len(self.size) + np.arange(len(heads))
+        at = np.insert(at, offsets[1:], len(self.size) + len(heads))
+        more = [*firsts, np.array(end, np.int32)]
+        pool = np.concatenate((self.pool, *more))
+        more_size = np.array([len(m) for m in more], np.int64)
+        size = np.concatenate((self.size, more_size))[at]
+        begin = np.concatenate((self.begin, len(self.pool) + np.cumsum(more_size) - more_size))[at]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        ends = offsets + np.arange(len(offsets))
+        return pa.ListArray.from_arrays(pa.array(upto[ends].astype(np.int32)), pa.array(pool[_spread(begin, size)]))
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of runs of so many places each."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 @functools.cache
@@ -99,17 +154,20 @@ def _encoder(file: str) -> Encoder:
     return Encoder(file)
 
 
-def _encoded(file: str, end_id: int, batch: int = 256):
-    """Batches of (doc_id, text) to batches of (doc_id, ids binary): ids of each whole text with the end id; null is empty."""
+def _encoded(file: str, end_id: int, batch_bytes: int = 4 << 20):
+    """Batches of (doc_id, text) to batches of (doc_id, ids): ids of each whole text with the end id; null is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(file)
-        end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, batch):
-                part = whole.slice(at, batch)
-                ids = [b + end for b in encoder.encode([t or "" for t in part.column("text").to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            text = whole.column("text")
+            size = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(size):
+                stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + batch_bytes, side="right")))
+                ids = encoder.encode(text.slice(at, stop - at), [end_id])
+                yield pa.RecordBatch.from_arrays([whole.column("doc_id").slice(at, stop - at).cast(pa.int64()), ids], ["doc_id", "ids"])
+                at = stop
 
     return run
 
@@ -132,10 +190,8 @@ def written(spark: SparkSession, docs: DataFrame, file: str, end_id: int, path:
 
         part, seq = TaskContext.get().partitionId(), 0
         for b in batches:
-            raw = b.column("ids")
-            sizes = np.diff(np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]) // 4
-            values = np.frombuffer(b"".join(raw.to_pylist()), "<i4")
-            ids = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), values)
+            ids = b.column("ids")
+            sizes = np.diff(np.asarray(ids.offsets))
             n = len(sizes)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n)), b.column("doc_id"), pa.array(sizes.astype(np.int64)), ids], ["part", "seq", "doc_id", "n_tokens", "ids"])
             seq += n

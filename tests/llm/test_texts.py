@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from keystrata.llm import langid, mixing, pieces, quality, setjoin, shingles, suffix_dedup, token_files, winnow
@@ -168,15 +169,20 @@ def test_token_files_layout(spark, docs, tmp_path):
     assert ids and all("DELTA_BINARY_PACKED" in c.encodings and c.has_offset_index and c.has_column_index for c in ids)
 
 
-def test_encoder_equals_plain_encoding():
+def test_encoder_equals_plain_encoding(monkeypatch):
     from tokenizers import Tokenizer
 
     file = tokenizer_file("byte_bpe_50k.json")
     encoder, plain = token_files.Encoder(file), Tokenizer.from_file(file)
     rng = random.Random(6)
-    texts = ["".join(rng.choice(["a", "b ", " c", "  ", "\n", "é", "'s", "12", ".", "日", "\t", "x y", "\0"]) for _ in range(rng.randint(0, 40))) for _ in range(400)]
-    for got, t in zip(encoder.encode(texts), texts):
-        assert np.frombuffer(got, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+    plain.encode_special_tokens = True
+    parts = ["a", "b ", " c", "  ", "\n", "é", "'s", "12", ".", "日", "\t", "x y", "\0", " wörd", "\x1c", "\x85", "\u3000", " ", "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(400)] + [None]
+    monkeypatch.setattr(token_files, "CACHED", 300)  # so that stretches are forgotten as well
+    for at in range(0, len(texts), 7):
+        some = texts[at : at + 7]
+        for got, t in zip(encoder.encode(pa.array(some), [2]).to_pylist(), some, strict=True):
+            assert got == [*plain.encode(t or "", add_special_tokens=False).ids, 2], repr(t)
 
 
 def test_suffix_array_and_prefixes():
