@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .shingles import mixed
 from .suffixes import common_prefixes, suffix_array
-from .util import dropped, released, stored
+from .util import asked, dropped, released, stored
 
 #: Text that a task works on at once.
 BATCH_BYTES = 1 << 19
@@ -206,8 +206,9 @@ def spans(spark: SparkSession, docs: DataFrame, length: int = 400, gram: int = 2
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     hard = kinds.join(several, "anchor")
     wanted = hard.groupBy(F.col("rep.id").alias("id"), F.col("rep.h").alias("h")).agg(F.collect_list(F.struct(*key, "n", "weight", "kinds", F.col("rep.start").alias("start"))).alias("f"))
+    wanted = stored(spark, wanted, "suffix-wanted")
     cut = F.transform("f", lambda f: F.struct(f["anchor"].alias("anchor"), f["f1"].alias("f1"), f["f2"].alias("f2"), f["n"].alias("n"), f["weight"].alias("weight"), f["kinds"].alias("kinds"), F.substring(F.col("text"), (f["start"] + 1).cast("int"), (f["n"] + length - 1).cast("int")).alias("text")))
-    texts = rows.join(wanted, ["id", "h"]).select(F.explode(cut).alias("f")).select("f.*").dropDuplicates(key)
+    texts = asked(rows, wanted, "id", "h").where("_asked").join(wanted, ["id", "h"]).select(F.explode(cut).alias("f")).select("f.*").dropDuplicates(key)
     texts = stored(spark, texts, "suffix-texts")
     released(spark)
     fields = [*key, "n", "weight", "text"]
@@ -230,7 +231,11 @@ def _with_spans(spark: SparkSession, docs: DataFrame, length: int, gram: int, *k
     runs = stored(spark, runs.withColumnsRenamed({"id": "_id", "h": "_h", "at": "_at", "len": "_len"}), "suffix-runs")
     released(spark)
     rows = docs.select(*keep, F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.xxhash64("text").alias("_h"), F.col("text").cast("binary").alias("_text"))
-    return rows.join(runs, ["_id", "_h"], "left")
+    # Texts that lose nothing stay where they are.
+    rows = asked(rows, runs, "_id", "_h")
+    cut = rows.where("_asked").join(runs, ["_id", "_h"], "left")
+    whole = rows.where("not _asked").withColumns({c: F.lit(None).cast("array<long>") for c in ("_at", "_len")})
+    return cut.unionByName(whole).drop("_asked")
 
 
 def _removed(size: int, at: list[int] | None, count: list[int] | None, length: int) -> list[tuple[int, int]]:

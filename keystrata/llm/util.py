@@ -69,5 +69,23 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Bits of the table that tells rows apart before a shuffle: 1 MB, whatever the corpus.
+SEEN_BITS = 1 << 23
+
+
+def asked(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """``rows`` with ``_asked``: false only where no row of ``keys`` has the same ``on``.
+
+    The hashes of ``keys`` become a bitmap of 256 blocks of 4 KB, which is what
+    is broadcast; what it lets through by chance a join must still leave out.
+    """
+    place = F.pmod(F.xxhash64(*on), F.lit(SEEN_BITS))
+    blocks = keys.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("_block")).agg(F.bitmap_construct_agg(F.expr("p % 32768")).alias("_bits"))
+    byte = "cast(conv(hex(substring(_bits, cast((_place % 32768) div 8 as int) + 1, 1)), 16, 10) as int)"
+    hit = F.expr(f"(shiftright({byte}, cast(_place % 8 as int)) & 1) = 1")
+    rows = rows.withColumn("_place", place).withColumn("_block", F.expr("_place div 32768"))
+    return rows.join(F.broadcast(blocks), "_block", "left").withColumn("_asked", F.coalesce(hit, F.lit(False))).drop("_block", "_bits", "_place")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,10 +9,12 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from keystrata.llm import langid, mixing, pieces, quality, setjoin, shingles, suffix_dedup, token_files, winnow
 from keystrata.llm.queries import tokenizer_file
 from keystrata.llm.suffixes import common_prefixes, suffix_array
+from keystrata.llm.util import asked
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -185,6 +187,15 @@ def test_encoder_equals_plain_encoding(monkeypatch):
             assert got == [*plain.encode(t or "", add_special_tokens=False).ids, 2], repr(t)
 
 
+def test_asked_misses_no_key(spark):
+    rows = spark.range(20_000).selectExpr("id", "id * 7 as h")
+    keys = rows.where("id % 50 = 3")
+    got = asked(rows, keys, "id", "h").groupBy((F.col("id") % 50 == 3).alias("key"), "_asked").count().collect()
+    found = {(r["key"], r["_asked"]): r["count"] for r in got}
+    assert found[True, True] == 400 and (True, False) not in found and found[False, False] > 19_500
+    assert asked(rows, keys.limit(0), "id", "h").where("_asked").count() == 0
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(7)
     for _ in range(120):
