@@ -383,8 +383,10 @@ def _candidates(lists: DataFrame, num: int, den: int) -> DataFrame:
             i = np.arange(a, min(a + BLOCK, len(n)))
             for b in range(a, len(n), BLOCK):
                 j = np.arange(b, min(b + BLOCK, len(n)))
+                if den * rest[b] < num * n[i].min():
+                    break  # entries are in order of their rest and no set is smaller than its rest: none further on is large enough
                 if rest[b] < _required(n[i].min(), n[j].min(), num, den):
-                    break  # entries are in order of their rest: nothing further on has more
+                    continue  # later blocks have a smaller rest, but their sets may be smaller as well
                 p, q = (m.ravel() for m in np.meshgrid(i, j, indexing="ij"))
                 if a == b:
                     p, q = p[p < q], q[p < q]

@@ -291,6 +291,24 @@ def test_jaccard_join_of_one_large_group(spark, monkeypatch):
             assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in setjoin.joined(spark, df, **options).collect()} == brute_components(rows)
 
 
+def test_candidates_of_lists_with_mixed_sizes(spark):
+    rng = random.Random(12)
+    sized = [(85, 0)] * 64 + [(106, 25)] * 64 + [(81, 1)] * 64
+    lists = [(0, n, pos) for n, pos in sized]
+    for token in range(1, 4):
+        for _ in range(500):
+            n = rng.randint(20, 120)
+            lists.append((token, n, rng.randint(0, n - -(-75 * n // 100))))
+    rows = [(t, rep, n, pos, rep, -1) for rep, (t, n, pos) in enumerate(lists)]
+    want = set()
+    for x, (t, n, pos) in enumerate(lists):
+        for y, (u, m, at) in enumerate(lists):
+            if x < y and t == u and min(n - pos, m - at) * 175 >= 75 * (n + m) and 100 * min(n, m) >= 75 * max(n, m):
+                want.add((x, y))
+    df = spark.createDataFrame(rows, "token long, rep long, n long, pos int, comp long, pivot_overlap long")
+    assert set(map(tuple, setjoin._candidates(df, 75, 100).collect())) == want
+
+
 def test_shingles_depend_on_words_alone():
     a, n = shingles.shingle_sets([b"A b  c d e f", b"x", b"", b"a B c\td e\nF", b"\n"])
     assert n.tolist() == [2, 1, 0, 2, 0]
