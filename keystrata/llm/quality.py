@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .util import let, pieces, stored
 
-#: The transformed statistics, in the order of the vector, and the least standard deviation that each is given.
-VECTOR = {"mean_word": 0.10, "symbols": 0.05, "dup_lines": 0.25, "repeats": 0.15}
+#: The transformed statistics, in the order of the vector, and the least standard deviation that each is given; each alone can reach the limit.
+VECTOR = {"mean_word": 0.05, "symbols": 0.05, "dup_lines": 0.12, "repeats": 0.12}
+#: Clean lines and words that a text counts as having besides its own: one repeated line of a short text is little evidence.
+LINES, WORDS = 10, 100
 DIMS = len(VECTOR)
 #: Fixed-point units of the vector: sums of integers don't depend on their order.
 UNIT = 4096
@@ -79,7 +81,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
 
 
-def with_verdicts(spark: SparkSession, docs: DataFrame, least_group: int = 200, half: float = 0.75, steps: int = 6, keep: float = 1 - 1e-9) -> DataFrame:
+def with_verdicts(spark: SparkSession, docs: DataFrame, least_group: int = 200, half: float = 0.75, steps: int = 6, keep: float = 0.999) -> DataFrame:
     """The statistics of every row of ``docs`` with base_failed, distance2 and kept.
 
     Groups are language and source; one with fewer than ``least_group`` rows
@@ -91,14 +93,15 @@ def with_verdicts(spark: SparkSession, docs: DataFrame, least_group: int = 200,
     distance, scaled by the group's median, up to which a document is kept; only
     documents on the bad side (more symbols, repeats or odd word lengths) are
     far from documents that are close to what is usual, since every spread has a
-    floor (``VECTOR``). Null and empty texts fail the base limits. Rows that are
+    floor (``VECTOR``). Shares of repeated lines and words are taken of the
+    text's own and of ``LINES`` or ``WORDS`` clean ones. Null and empty texts fail the base limits. Rows that are
     repeated are judged alike; an empty table gives no rows.
     """
     stats = statistics(docs)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     ratio = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     fixed = lambda c: F.round(c * UNIT).cast("long")
-    x = [fixed(F.log(F.greatest(ratio("word_chars", "n_words"), F.lit(0.5)))), fixed(F.sqrt(ratio("n_symbols", "word_chars"))), fixed(F.sqrt(ratio("n_dup_lines", "n_lines"))), fixed(F.sqrt(ratio("n_repeat_words", "n_words")))]
+    x = [fixed(F.log(F.greatest(ratio("word_chars", "n_words"), F.lit(0.5)))), fixed(F.sqrt(ratio("n_symbols", "word_chars"))), fixed(F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + LINES))), fixed(F.sqrt(F.col("n_repeat_words") / (F.col("n_words") + WORDS)))]
     stats = stats.withColumn("base_failed", failed).withColumns({f"x{i}": c for i, c in enumerate(x)})
     stats = stored(spark, stats, "quality-statistics")
     good = stats.where(~F.col("base_failed"))

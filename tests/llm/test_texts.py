@@ -81,6 +81,23 @@ def test_quality_rejects_outliers(spark):
     assert kept == set(range(300))
 
 
+def test_quality_rejects_repeated_lines_and_repeated_words(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    texts = {i: "\n".join(words(10) for _ in range(8)) for i in range(300)}
+    one = [words(10) for _ in range(8)]
+    texts[1000] = "\n".join([*one, one[3]])  # one repeated line
+    texts[2000] = "\n".join([words(10) for _ in range(8)] + [w for _ in range(30) for w in ("abcd", word())])  # half of its lines
+    texts[2001] = "\n".join([words(30) for _ in range(8)] + ["abcd efgh"] * 40)  # nearly all of its lines
+    run = words(200)
+    texts[2002] = "\n".join([words(450), run, run])  # 47 % of its words
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], SCHEMA)
+    got = {r["doc_id"]: r for r in quality.with_verdicts(spark, df).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert {i for i, r in got.items() if not r["kept"]} == {2000, 2001, 2002}
+
+
 def test_quality_repeats_with_clashing_hashes(spark, monkeypatch):
     monkeypatch.setattr(quality, "_POS_BITS", 60)  # four bits of hash are left: nearly all clash
     w = [random.Random(3).choice("abc") for _ in range(60)]
