@@ -102,45 +102,95 @@ def _plain(data: bytes, out: Salvage, base: int = 0) -> None:
         out.gaps.append(Gap(base + start, at - start, got))
 
 
+def _unpacked(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """(content, end, "") of the gzip member at an offset; of a broken one, all that can be unpacked, where that ends, and what is wrong."""
+    member, parts, to = zlib.decompressobj(31), [], at
+    try:
+        while not member.eof and to < len(data):  # in steps, since what is left over is copied
+            parts.append(member.decompress(data[to : to + STEP]))
+            to = min(to + STEP, len(data))
+    except zlib.error as e:
+        # A step that fails gives nothing: once more from the start, and this step by the byte.
+        member = zlib.decompressobj(31)
+        parts = [member.decompress(data[k : k + STEP]) for k in range(at, to, STEP)]
+        try:
+            while to < len(data):
+                parts.append(member.decompress(data[to : to + 1]))
+                to += 1
+        except zlib.error:
+            pass
+        return b"".join(parts), to, str(e)
+    if not member.eof:
+        return b"".join(parts) + member.flush(), len(data), "the member has no end"
+    return b"".join(parts), to - len(member.unused_data), ""
+
+
+def _trusted(inner: Salvage, size: int, reason: str) -> list[Record]:
+    """The records of a broken member's content that count.
+
+    Digests don't cover headers: if the member's checksum fails and no record
+    does, some record's headers are wrong, and which can't be told. A record at
+    the very end of a member whose end is missing isn't counted either.
+    """
+    if "incorrect" in reason and "check" in reason and not inner.gaps:
+        return []
+    return [r for r in inner.records if reason != "the member has no end" or r.offset + r.length < size]
+
+
 def salvaged(data: bytes) -> Salvage:
     """All good records of an archive's bytes, and the gaps between them.
 
-    Works on plain archives, and on gzip archives by member: a member that
-    can't be unpacked is a gap up to the next one that can; records inside a
-    member are salvaged like a plain archive. Offsets of records in a gzip
-    archive are those of their member. An empty archive has neither.
+    At each place a gzip member or a plain record may follow, whatever the
+    archive begins with. After one that is damaged, the search goes on at the
+    next member that can be unpacked or version line that starts a good record,
+    whichever comes first, and the bytes between are a gap. Records inside a
+    member are salvaged like a plain archive; so are those in what a broken
+    member had unpacked before it broke, though its bytes stay a gap. Offsets of
+    records in a member are those of the member. An empty archive has neither.
     """
     out = Salvage()
-    if not data.startswith(_GZIP):
-        _plain(data, out)
-        return out
     at, bad_from, why = 0, None, ""
+    next_member, next_line = -1, -1
+    told: list[Record] = []  # judged in a broken member; stored blocks show the same bytes again
+    told_to = 0
     while at < len(data):
-        member = zlib.decompressobj(31)
-        try:
-            if data[at : at + 3] != _GZIP:
-                raise zlib.error("no gzip member")
-            parts, to = [], at
-            while not member.eof and to < len(data):  # in steps, since what is left over is copied
-                parts.append(member.decompress(data[to : to + STEP]))
-                to = min(to + STEP, len(data))
-            if not member.eof:
-                raise zlib.error("the member has no end")
-            end = to - len(member.unused_data)
-        except zlib.error as e:
-            bad_from, why = (at, str(e)) if bad_from is None else (bad_from, why)
-            found = data.find(_GZIP, at + 1)
-            at = len(data) if found < 0 else found
+        found, length = Salvage(), 0
+        if data.startswith(_GZIP, at):
+            content, end, reason = _unpacked(data, at)
+            inner = Salvage()
+            _plain(content, inner)
+            if not reason:
+                length = end - at
+                found.records = [Record(r.headers, r.block, at, length) for r in inner.records]
+                found.gaps = [Gap(at, length, g.reason) for g in inner.gaps]
+            else:
+                out.records += [Record(r.headers, r.block, at, end - at) for r in _trusted(inner, len(content), reason)]
+                told, told_to = (told if at < told_to else []) + inner.records, max(told_to, end)
+        else:
+            got = parsed(data, at)
+            if isinstance(got, str):
+                reason = got
+            elif at < told_to and any(r.headers == got.headers and r.block == got.block for r in told):
+                reason = "a record of a broken member"
+            else:
+                found.records, length = [got], got.length
+        if length:
+            if bad_from is not None:
+                out.gaps.append(Gap(bad_from, at - bad_from, why))
+                bad_from = None
+            out.records += found.records
+            out.gaps += found.gaps
+            at += length
             continue
-        if bad_from is not None:
-            out.gaps.append(Gap(bad_from, at - bad_from, why))
-            bad_from = None
-        inner = Salvage()
-        _plain(b"".join(parts), inner)
-        length = end - at
-        out.records += [Record(r.headers, r.block, at, length) for r in inner.records]
-        out.gaps += [Gap(at, length, g.reason) for g in inner.gaps]
-        at += length
+        if bad_from is None:
+            bad_from, why = at, reason
+        if next_member <= at:
+            k = data.find(_GZIP, at + 1)
+            next_member = len(data) if k < 0 else k
+        if next_line <= at:
+            m = _START.search(data, at + 1)
+            next_line = m.start() if m else len(data)
+        at = min(next_member, next_line)
     if bad_from is not None:
         out.gaps.append(Gap(bad_from, at - bad_from, why))
     return out

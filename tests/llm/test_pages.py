@@ -69,6 +69,29 @@ def test_salvage_of_gzip_archives():
     assert numbers(s) == ["0", "1", "2"] and s.gaps[0].length == len(parts[3]) - 5
 
 
+def test_salvage_goes_on_behind_any_damage():
+    noise = lambda n: bytes(random.Random(n).choices(range(256), k=3000)).hex().encode()
+    parts = [gzip.compress(one(n, noise(n))) for n in range(4)]
+    whole = b"".join(parts)
+    hurt = b"\0" + whole[1:]  # the first member's header
+    s = warc.salvaged(hurt)
+    assert numbers(s) == ["1", "2", "3"] and [(g.offset, g.length) for g in s.gaps] == [(0, len(parts[0]))]
+    s = warc.salvaged(b"some junk" + whole)
+    assert numbers(s) == ["0", "1", "2", "3"] and [(g.offset, g.length) for g in s.gaps] == [(0, 9)]
+    single = gzip.compress(b"".join(one(n, noise(n)) for n in range(9)))
+    cut = single[: len(single) * 3 // 5]
+    s = warc.salvaged(cut)
+    assert numbers(s) == ["0", "1", "2", "3", "4"] and [(g.offset, g.length) for g in s.gaps] == [(0, len(cut))]
+    broken = bytearray(single)
+    broken[len(single) // 2] ^= 255
+    got = numbers(warc.salvaged(bytes(broken) + one(20) + parts[1]))
+    assert got[:4] == ["0", "1", "2", "3"] and got[-2:] == ["20", "1"]
+    stored = gzip.compress(one(5) + one(6, noise(6)), 0)  # bytes as they are: no record is found twice
+    assert numbers(warc.salvaged(stored[:-2000])) == ["5"]
+    mixed = one(7) + parts[0] + one(8) + parts[1]
+    assert numbers(warc.salvaged(mixed)) == ["7", "0", "8", "1"] and not warc.salvaged(mixed).gaps
+
+
 def brute_split(url):
     if url is None or "://" not in url:
         return "", ""
