@@ -171,17 +171,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, per_lang: int = 600, stretches: int = 4) -> list[tuple[bytes, str]]:
-    """Training stretches: of ``per_lang`` documents of each language at most (those of the smallest hashes), ``stretches`` places in each text."""
+    """Training stretches: of ``per_lang`` documents of each language at most (those of the smallest hashes; copies of a text count as one), ``stretches`` places in each text."""
     from pyspark.sql import Window as W
 
     room = F.greatest(F.length("text") - STRETCH + 1, F.lit(1))
     at = F.transform(F.sequence(F.lit(0), F.lit(stretches - 1)), lambda i: F.substring("text", (F.pmod(F.hash("h", i), room) + 1).cast("int"), F.lit(STRETCH)))
     rows = docs.where("lang is not null and length(text) > 0").select("lang", "text", F.xxhash64("text").alias("h")).select("lang", "h", at.alias("s"))
     # By hash about half as many again as are wanted, so that few rows of a language meet in one task.
-    n = docs.where("lang is not null and length(text) > 0").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    n = docs.where("lang is not null and length(text) > 0").groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n"))
     place = F.pmod(F.col("h"), F.lit(1 << 30))
     near = place * F.col("n") < F.lit((1.5 * per_lang + 100) * (1 << 30))
-    some = rows.join(n, "lang").where(near).withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(place, "h"))).where(F.col("rank") <= per_lang)
+    once = rows.join(n, "lang").where(near).groupBy("lang", "h").agg(F.first("s").alias("s"))
+    some = once.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(place, "h"))).where(F.col("rank") <= per_lang)
     got = some.select("lang", "h", "s").collect()
     return [(s.encode("utf-8", "surrogatepass")[:STRETCH], r["lang"]) for r in sorted(got, key=lambda r: (r["lang"], r["h"])) for s in r["s"] if s]
 
@@ -189,7 +190,7 @@ def sample(docs: DataFrame, per_lang: int = 600, stretches: int = 4) -> list[tup
 def predicted(spark: SparkSession, docs: DataFrame, learn: DataFrame, per_lang: int = 600) -> DataFrame:
     """(doc_id, lang_pred, score) of every row of ``docs`` (doc_id, text), learned from ``learn`` (doc_id, text, lang).
 
-    The training sample is bounded by ``per_lang`` documents a language; every
+    The training sample is bounded by ``per_lang`` distinct texts a language; every
     whole text is predicted. ``und`` with score 0 for a null text, one without a
     letter, or if there was nothing to learn from; empty tables give no rows.
     """

@@ -430,6 +430,13 @@ def test_language(spark, none):
     assert langid.predicted(spark, none, none).count() == 0
 
 
+def test_language_sample_takes_copies_once(spark):
+    texts = [(f"text number {i} " * 9, "en" if i % 2 else "de") for i in range(60)]
+    df = spark.createDataFrame(texts, "text string, lang string")
+    got = langid.sample(spark.createDataFrame(texts * 40, "text string, lang string"), per_lang=10)
+    assert len(got) == 2 * 10 * 4 and got == langid.sample(df, per_lang=10)
+
+
 def test_language_gradients():
     rng = np.random.default_rng(0)
     net = langid.Network.fresh(["a", "b"], 3, rng)
