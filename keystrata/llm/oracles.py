@@ -24,18 +24,35 @@ r(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT n.y, r.c FROM r JOIN
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(c) AS component_id FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, sh"""
 
 
-def suffix_dedup(length: int = 400) -> str:
+def _covered(k: str, length: int) -> str:
+    """r{k} (doc_id, a, z): maximal runs of bytes that repeated strings of so many bytes cover."""
     return f"""
-WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
-i AS (SELECT doc_id, b, unnest(range(1, n - {length} + 2)) AS i FROM d WHERE n >= {length}),
-h AS (SELECT doc_id, i, md5(array_slice(b, i, i + {length - 1})) AS h FROM i),
-g AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
-m AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {length} THEN 1 ELSE 0 END AS new FROM h JOIN g USING (h)),
-k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM m),
-r AS (SELECT doc_id, min(i) AS a, max(i) + {length - 1} AS z FROM k GROUP BY doc_id, k),
-q AS (SELECT doc_id, a, z, lag(z) OVER (PARTITION BY doc_id ORDER BY a) AS y, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS x FROM r),
-t AS (SELECT q.doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans, string_agg(hex(array_slice(b, coalesce(y, 0) + 1, a - 1)), '' ORDER BY a) || coalesce(max(CASE WHEN x IS NULL AND z < n THEN hex(array_slice(b, z + 1, n)) END), '') AS kept FROM q JOIN d ON d.doc_id = q.doc_id GROUP BY q.doc_id)
-SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, CASE WHEN t.doc_id IS NULL THEN sha256(b) ELSE sha256(unhex(kept)) END AS kept_sha256 FROM d LEFT JOIN t ON t.doc_id = d.doc_id"""
+i{k} AS (SELECT doc_id, b, unnest(range(1, n - {length} + 2)) AS i FROM d WHERE n >= {length}),
+h{k} AS (SELECT doc_id, i, md5(array_slice(b, i, i + {length - 1})) AS h FROM i{k}),
+g{k} AS (SELECT h FROM h{k} GROUP BY h HAVING count(*) > 1),
+m{k} AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {length} THEN 1 ELSE 0 END AS new FROM h{k} JOIN g{k} USING (h)),
+k{k} AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM m{k}),
+r{k} AS (SELECT doc_id, min(i) AS a, max(i) + {length - 1} AS z FROM k{k} GROUP BY doc_id, k)"""
+
+
+def _left(k: str, runs: str) -> str:
+    """t{k} (doc_id, n_removed, n_spans, kept): what is left in hex without the runs."""
+    return f"""
+q{k} AS (SELECT doc_id, a, z, lag(z) OVER (PARTITION BY doc_id ORDER BY a) AS y, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS x FROM {runs}),
+t{k} AS (SELECT q.doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans, string_agg(hex(array_slice(b, coalesce(y, 0) + 1, a - 1)), '' ORDER BY a) || coalesce(max(CASE WHEN x IS NULL AND z < n THEN hex(array_slice(b, z + 1, n)) END), '') AS kept FROM q{k} q JOIN d ON d.doc_id = q.doc_id GROUP BY q.doc_id)"""
+
+
+def suffix_dedup(length: int = 400, passage: int = 200, words: int = 50) -> str:
+    # As text, a blob has other bytes than printable ones as \\xHH.
+    shown = r"(?: |\\x09|\\x0A|\\x0B|\\x0C|\\x0D)+"
+    n_words = f"len([x for x in regexp_split_to_array(CAST(array_slice(b, a, z) AS VARCHAR), '{shown}') if x <> ''])"
+    n_chars = lambda blob: rf"length(regexp_replace(regexp_replace(CAST({blob} AS VARCHAR), '\\x[89AB][0-9A-F]', '', 'g'), '\\x[0-9A-F][0-9A-F]', 'x', 'g'))"
+    return f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),{_covered("1", length)},{_covered("2", passage)},
+p AS (SELECT r2.doc_id, a, z FROM r2 JOIN d ON d.doc_id = r2.doc_id WHERE {n_words} > {words}),{_left("1", "r1")},{_left("2", "p")}
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(t1.n_removed, 0) AS BIGINT) AS n_removed, coalesce(t1.n_spans, 0) AS n_spans, CASE WHEN t1.doc_id IS NULL THEN sha256(b) ELSE sha256(unhex(t1.kept)) END AS kept_sha256,
+coalesce(t2.n_spans, 0) AS n_passages, CAST(coalesce(t2.n_removed, 0) AS BIGINT) AS passage_bytes, CASE WHEN t2.doc_id IS NULL THEN {n_chars("b")} ELSE {n_chars("unhex(t2.kept)")} END AS chars_left
+FROM d LEFT JOIN t1 ON t1.doc_id = d.doc_id LEFT JOIN t2 ON t2.doc_id = d.doc_id"""
 
 
 def mix() -> str:

@@ -1,8 +1,8 @@
 """Quality rules: text statistics, base limits, and robust multivariate outliers (DataFrame functions only).
 
 Per language and source, a minimum-covariance-determinant estimate of the
-transformed statistics is found by concentration steps; documents far from it
-by Mahalanobis distance go. Every step is a histogram of distances per group
+transformed statistics is found by concentration steps, small groups leaning on
+their language's; documents far from it by Mahalanobis distance go. Every step is a histogram of distances per group
 (to find the half-sample's limit) and a sum of moments per group, so a group's
 rows never meet in one task, and integers are summed, so reruns agree.
 """
@@ -12,7 +12,6 @@ from __future__ import annotations
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .util import let, pieces, stored
@@ -66,129 +65,150 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(covered(let(window(words), places)))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, h (the text's xxhash64), lang, source and the statistics of each whole text; a null text has none of anything."""
+def statistics(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, h (the text's xxhash64), lang, source and the statistics of each whole text, and ``more``; a null text has none of anything."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     of_words = lambda ws: F.struct(F.size(ws).alias("n_words"), _repeat_words(ws).alias("n_repeat_words"))
     of_pieces = lambda ps: F.struct(F.size(ps).alias("n_pieces"), let(F.filter(ps, lambda w: w != ""), of_words).alias("w"))
     of_lines = lambda ls: F.struct(F.size(ls).alias("n_lines"), (F.size(ls) - F.size(F.array_distinct(ls))).alias("n_dup_lines"))
-    found = docs.select("doc_id", F.xxhash64("text").alias("h"), "lang", "source", F.length(text).alias("n_chars"), (F.size(F.split(text, r"[#*$%&|<>]")) - 1).alias("n_symbols"), let(pieces(text), of_pieces).alias("p"), let(lines, of_lines).alias("l"))
+    found = docs.select(*more, "doc_id", F.xxhash64("text").alias("h"), "lang", "source", F.length(text).alias("n_chars"), (F.size(F.split(text, r"[#*$%&|<>]")) - 1).alias("n_symbols"), let(pieces(text), of_pieces).alias("p"), let(lines, of_lines).alias("l"))
     long = lambda c, name: c.cast("long").alias(name)
     return found.select(
+        *found.columns[: len(more)],
         "doc_id", "h", "lang", "source", long(F.col("p.w.n_words"), "n_words"), long(F.col("n_chars") - F.col("p.n_pieces") + 1, "word_chars"), long(F.col("n_symbols"), "n_symbols"),
         long(F.col("l.n_lines"), "n_lines"), long(F.col("l.n_dup_lines"), "n_dup_lines"), long(F.col("p.w.n_repeat_words"), "n_repeat_words"),
     )
 
 
-def with_verdicts(spark: SparkSession, docs: DataFrame, least_group: int = 200, half: float = 0.75, steps: int = 6, keep: float = 0.999) -> DataFrame:
+def with_verdicts(spark: SparkSession, docs: DataFrame, prior: float = 200.0, half: float = 0.75, steps: int = 6, keep: float = 0.999) -> DataFrame:
     """The statistics of every row of ``docs`` with base_failed, distance2 and kept.
 
-    Groups are language and source; one with fewer than ``least_group`` rows
-    that pass the base limits is judged with its language's other small groups,
-    and those with all small ones if they are too few again (null is a value
-    like others). ``half``: the part of a group that its estimate rests on.
-    ``steps``: concentration steps, from the medians and from the means; the
-    smaller determinant wins. ``keep``: the chi-square quantile of the squared
-    distance, scaled by the group's median, up to which a document is kept; only
-    documents on the bad side (more symbols, repeats or odd word lengths) are
-    far from documents that are close to what is usual, since every spread has a
-    floor (``VECTOR``). Shares of repeated lines and words are taken of the
-    text's own and of ``LINES`` or ``WORDS`` clean ones. Null and empty texts fail the base limits. Rows that are
-    repeated are judged alike; an empty table gives no rows.
+    Every language and source has an estimate of its own from its rows that pass
+    the base limits (null is a value like others), and ``prior`` rows' weight of
+    its language's estimate beside them, which in turn has as much of all
+    documents': so a small group leans on its language, a large one doesn't, and
+    no size changes the rule. ``half``: the part of a group that its estimate
+    rests on. ``steps``: concentration steps, from the medians and from the
+    means; the smaller determinant wins. ``keep``: the chi-square quantile of
+    the squared distance, scaled by the group's median, up to which a document
+    is kept; only documents on the bad side (more symbols, repeats or odd word
+    lengths) are far from documents that are close to what is usual, since every
+    variance has a floor added (``VECTOR``, squared; the determinant that is
+    minimised has the floors in it). Shares of repeated lines and words are
+    taken of the text's own and of ``LINES`` or ``WORDS`` clean ones. Null and
+    empty texts fail the base limits. Rows that are repeated are judged alike;
+    an empty table gives no rows.
     """
-    stats = statistics(docs)
+    return _judged(spark, docs, prior, half, steps, keep)
+
+
+def passed(spark: SparkSession, docs: DataFrame, prior: float = 200.0, half: float = 0.75, steps: int = 6, keep: float = 0.999) -> DataFrame:
+    """The rows of ``docs`` that :func:`with_verdicts` keeps, with their own columns; a row stays beside its statistics, so no join moves texts."""
+    return _judged(spark, docs, prior, half, steps, keep, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")).where("kept").select("_row.*")
+
+
+def _judged(spark: SparkSession, docs: DataFrame, prior: float, half: float, steps: int, keep: float, *more: Column) -> DataFrame:
+    stats = statistics(docs, *more)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     ratio = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     fixed = lambda c: F.round(c * UNIT).cast("long")
     x = [fixed(F.log(F.greatest(ratio("word_chars", "n_words"), F.lit(0.5)))), fixed(F.sqrt(ratio("n_symbols", "word_chars"))), fixed(F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + LINES))), fixed(F.sqrt(F.col("n_repeat_words") / (F.col("n_words") + WORDS)))]
-    stats = stats.withColumn("base_failed", failed).withColumns({f"x{i}": c for i, c in enumerate(x)})
-    stats = stored(spark, stats, "quality-statistics")
-    good = stats.where(~F.col("base_failed"))
     tag = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    sizes = good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    small = F.col("n") < least_group
-    of_lang = F.sum(F.when(small, F.col("n"))).over(W.partitionBy("lang"))
-    group = F.when(~small, F.to_json(F.array(tag("lang"), tag("source")))).when(of_lang >= least_group, F.to_json(F.array(tag("lang")))).otherwise(F.lit("[]"))
-    groups = stored(spark, sizes.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), group.alias("g")), "quality-groups")
-    match = lambda d: d.join(groups, d["lang"].eqNullSafe(groups["_lang"]) & d["source"].eqNullSafe(groups["_source"]), "left").drop("_lang", "_source")
-    vectors = stored(spark, match(good).select("g", *(f"x{i}" for i in range(DIMS))), "quality-vectors")
-    estimate = _mcd(spark, vectors, half, steps)
-    judged = match(stats).join(estimate, "g", "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance2() * F.col("scale")))
+    stats = stats.withColumn("base_failed", failed).withColumns({f"x{i}": c for i, c in enumerate(x)})
+    stats = stored(spark, stats.withColumn("g1", F.to_json(F.array(tag("lang")))).withColumn("g", F.to_json(F.array(tag("lang"), tag("source")))), "quality-statistics")
+    vectors = stored(spark, stats.where(~F.col("base_failed")).select("g", "g1", *(f"x{i}" for i in range(DIMS))), "quality-vectors")
+    estimate = _mcd(spark, vectors, prior, half, steps).where("level = 2").drop("level")
+    judged = stats.join(estimate, "g", "left").withColumn("distance2", F.when(~F.col("base_failed"), F.expr(_distance2()) * F.col("scale")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= chi2(DIMS, keep), F.lit(True))
-    return judged.withColumn("kept", kept).drop(*(f"x{i}" for i in range(DIMS)), "n_lines", *estimate.columns)
+    return judged.withColumn("kept", kept).drop(*(f"x{i}" for i in range(DIMS)), "n_lines", "g1", *estimate.columns)
 
 
-def passed(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`with_verdicts` keeps, with their own columns."""
-    gone = stored(spark, with_verdicts(spark, docs, **options).where("not kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), "quality-rejected")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_h"]), "left_anti")
+# What follows is written as SQL expressions: a step has hundreds of operations, and each Column operation is a call to the JVM.
 
 
 def _pairs() -> list[tuple[int, int]]:
     return [(i, j) for i in range(DIMS) for j in range(i + 1)]
 
 
-def _distance2() -> Column:
+def _names() -> list[str]:
+    return [f"{i}" for i in range(DIMS)] + [f"{i}{j}" for i, j in _pairs()]
+
+
+def _distance2() -> str:
     """Squared Mahalanobis distance from means m0.. and the Cholesky factor l00, l10, ..: forward substitution."""
-    z: list[Column] = []
+    z: list[str] = []
     for i in range(DIMS):
-        rest = (F.col(f"x{i}") / UNIT) - F.col(f"m{i}")
-        for j in range(i):
-            rest = rest - F.col(f"l{i}{j}") * z[j]
-        z.append(rest / F.col(f"l{i}{i}"))
-    return sum((v * v for v in z[1:]), z[0] * z[0])
+        rest = "".join(f" - l{i}{j} * {z[j]}" for j in range(i))
+        z.append(f"((x{i} / {UNIT}D - m{i}{rest}) / l{i}{i})")
+    return " + ".join(f"{v} * {v}" for v in z)
 
 
 def _factored(moments: DataFrame, *keys: str) -> DataFrame:
-    """Means, Cholesky factor of the covariance (variances have their floors added) and log determinant from integer sums."""
-    n = F.col("n").cast("double")
-    out = moments.withColumns({f"m{i}": F.col(f"s{i}").cast("double") / UNIT / n for i in range(DIMS)})
+    """Means, Cholesky factor of the covariance (variances have their floors added) and log determinant from mean moments a0.., a00.. ."""
     floors = list(VECTOR.values())
-    out = out.withColumns({f"c{i}{j}": F.col(f"s{i}{j}").cast("double") / UNIT / UNIT / n - F.col(f"m{i}") * F.col(f"m{j}") + (floors[i] ** 2 if i == j else 0.0) for i, j in _pairs()})
+    made = [f"a{i} as m{i}" for i in range(DIMS)]
     for i, j in _pairs():
-        rest = F.col(f"c{i}{j}")
-        for k in range(j):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(floors[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select(*keys, *(f"m{i}" for i in range(DIMS)), *(f"l{i}{j}" for i, j in _pairs()), sum((F.log(f"l{i}{i}") for i in range(DIMS)), F.lit(0.0)).alias("log_det"))
+        rest = f"a{i}{j} - m{i} * m{j}" + (f" + {floors[i] ** 2!r}D" if i == j else "") + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        made.append(f"sqrt(greatest({rest}, {floors[i] ** 2 / 4!r}D)) as l{i}{j}" if i == j else f"({rest}) / l{j}{j} as l{i}{j}")
+    return moments.selectExpr(*keys, *made, " + ".join(f"ln(l{i}{i})" for i in range(DIMS)) + " as log_det")
+
+
+def _leaning(sums: DataFrame, prior: float) -> DataFrame:
+    """Mean moments a.. of groups (level, g, g1, start, n, s..): each group's sums and ``prior`` rows' weight of the group above it. One row per group."""
+    own = {s: f"cast(s{s} as double) / {UNIT ** len(s)}D" for s in _names()}
+    struct = lambda of: "named_struct(" + ", ".join(f"'v{s}', {of(s)}" for s in _names()) + ")"
+    out = sums.selectExpr("*", struct(lambda s: f"{own[s]} / n") + " as a")
+    for level, above in ((1, "start"), (2, "start, g1")):
+        out = out.selectExpr("*", f"max(if(level = {level - 1}, a, null)) over (partition by {above}) as top")
+        led = struct(lambda s: f"({own[s]} + {float(prior)!r}D * top.v{s}) / (n + {float(prior)!r}D)")
+        out = out.selectExpr(*sums.columns, f"if(level = {level}, {led}, a) as a")
+    return out.selectExpr("level", "g", "start", *(f"a.v{s} as a{s}" for s in _names()))
 
 
-def _moments(rows: DataFrame, *keys: str) -> DataFrame:
-    whole = lambda c: F.sum(c.cast("decimal(38,0)"))
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(whole(F.col(f"x{i}")).alias(f"s{i}") for i in range(DIMS)), *(whole(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in _pairs()))
+def _moments() -> list[Column]:
+    """Number, sums and sums of products of the vectors."""
+    return [F.expr("count(1) as n"), *(F.expr(f"sum(cast({' * '.join(f'x{i}' for i in s)} as decimal(38,0))) as s{s}") for s in _names())]
 
 
 #: Buckets of distances: steps of 1/64 of a power of e, which bounds a histogram to a few thousand rows a group.
-def _bucket(d2: Column) -> Column:
-    return F.floor(F.log(F.greatest(d2, F.lit(1e-12))) * 64).cast("int")
+def _bucketed(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr("*", f"cast(floor(ln(greatest({_distance2()}, 1e-12D)) * 64) as int) as bucket")
 
 
-def _quantile(rows: DataFrame, q: float, *keys: str) -> DataFrame:
-    """(keys, at): the bucket that holds the q-quantile of ``bucket`` in each group."""
-    counts = rows.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(W.partitionBy(*keys).orderBy("bucket"))
-    whole = F.sum("n").over(W.partitionBy(*keys))
-    return counts.withColumn("upto", upto).withColumn("whole", whole).where(F.col("upto") >= F.ceil(F.col("whole") * q)).groupBy(*keys).agg(F.min("bucket").alias("at"))
+def _upto(counts: DataFrame, q: float, *keys: str) -> DataFrame:
+    """The rows of ``counts`` (keys, bucket, n, ..) up to the bucket that holds the q-quantile of each group, with the group's rows (whole)."""
+    by = ", ".join(keys)
+    both = counts.selectExpr("*", f"sum(n) over (partition by {by} order by bucket) as upto", f"sum(n) over (partition by {by}) as whole")
+    return both.where(f"upto - n < ceil(whole * {q!r}D)")
 
 
-def _mcd(spark: SparkSession, vectors: DataFrame, half: float, steps: int) -> DataFrame:
-    """(g, means, factor, scale) of each group."""
-    means = _factored(_moments(vectors, "g"), "g").withColumn("start", F.lit(1))
+def _mcd(spark: SparkSession, vectors: DataFrame, prior: float, half: float, steps: int) -> DataFrame:
+    """(level, g, means, factor, scale) of all documents (level 0), each language (1), and each language and source (2)."""
+    group, keys, x = ["level", "g", "g1"], ["level", "g", "g1", "start"], [f"x{i}" for i in range(DIMS)]
+    levels = "array(named_struct('level', 0, 'g', '[]', 'g1', cast(null as string)), named_struct('level', 1, 'g', g1, 'g1', g1), named_struct('level', 2, 'g', g, 'g1', g1))"
+    rows = vectors.selectExpr(f"inline({levels})", *x)
+    sums = rows.groupBy(*group).agg(*_moments()).selectExpr("*", "1 as start")
     # Start 0: medians from histograms of each statistic, with the floors as spreads.
-    long = vectors.select("g", F.posexplode(F.array(*(F.col(f"x{i}") for i in range(DIMS)))).alias("dim", "v")).withColumn("bucket", F.expr(f"v div {UNIT // 256}").cast("int"))
-    mid = _quantile(long, 0.5, "g", "dim").groupBy("g").agg(*(F.max(F.when(F.col("dim") == i, (F.col("at") + 0.5) / 256)).alias(f"m{i}") for i in range(DIMS)))
+    long = rows.selectExpr(*group, f"posexplode(array({', '.join(x)})) as (dim, v)").selectExpr(*group, "dim", f"cast(v div {UNIT // 256} as int) as bucket")
+    mid = _upto(long.groupBy(*group, "dim", "bucket").agg(F.expr("count(1) as n")), 0.5, *group, "dim")
+    mid = mid.groupBy("level", "g").agg(*(F.expr(f"max(if(dim = {i}, (bucket + 0.5D) / 256, null)) as m{i}") for i in range(DIMS)))
     floors = list(VECTOR.values())
-    mid = mid.select("g", *(f"m{i}" for i in range(DIMS)), *(F.lit(floors[i] if i == j else 0.0).alias(f"l{i}{j}") for i, j in _pairs()), F.lit(0.0).alias("log_det"), F.lit(0).alias("start"))
-    now = stored(spark, mid.unionByName(means), "quality-estimate")
+    mid = mid.selectExpr("level", "g", "0 as start", *(f"m{i}" for i in range(DIMS)), *(f"{floors[i] if i == j else 0.0!r}D as l{i}{j}" for i, j in _pairs()), "0.0D as log_det")
+    factored = lambda sums: _factored(_leaning(sums, prior), "level", "g", "start")
+    now = stored(spark, mid.unionByName(factored(sums)), "quality-estimate")
     for _ in range(steps):
-        near = vectors.join(now, "g").withColumn("bucket", _bucket(_distance2()))
-        limit = stored(spark, _quantile(near, half, "g", "start"), "quality-limits")
-        inside = near.join(limit, ["g", "start"]).where("bucket <= at")
-        now = stored(spark, _factored(_moments(inside, "g", "start"), "g", "start"), "quality-estimate")
-    best = now.groupBy("g").agg(F.min_by("start", F.struct("log_det", "start")).alias("start"))
-    now = now.join(best, ["g", "start"])
+        # One pass: the moments of every bucket of distances, then those of the buckets up to the limit.
+        near = _bucketed(rows.join(now, ["level", "g"])).groupBy(*keys, "bucket").agg(*_moments())
+        inside = _upto(near, half, *keys).groupBy(*keys).agg(*(F.expr(f"sum({c}) as {c}") for c in ("n", *(f"s{s}" for s in _names()))))
+        now = stored(spark, factored(inside), "quality-estimate")
+    best = now.groupBy("level", "g").agg(F.expr("min_by(start, struct(log_det, start)) as start"))
+    now = stored(spark, now.join(best, ["level", "g", "start"]), "quality-estimate")
     # Scaled so that the median distance is what a normal distribution has, but never shrunk below the floors' spread.
-    mid = _quantile(vectors.join(now, "g").withColumn("bucket", _bucket(_distance2())), 0.5, "g")
-    scale = F.least(F.lit(chi2(DIMS, 0.5)) / F.exp((F.col("at") + 1) / 64), F.lit(1.0))
-    return stored(spark, now.join(mid, "g").select("g", *(f"m{i}" for i in range(DIMS)), *(f"l{i}{j}" for i, j in _pairs()), scale.alias("scale")), "quality-scaled")
+    near = _bucketed(rows.join(now, ["level", "g"])).groupBy(*group, "bucket").agg(F.expr("count(1) as n"))
+    mid = _upto(near, 0.5, *group).groupBy(*group).agg(F.expr("cast(max(bucket) as double) as at"), F.expr("first(whole) as n"))
+    for level, above in ((1, "0"), (2, "g1")):
+        mid = mid.selectExpr("*", f"max(if(level = {level - 1}, at, null)) over (partition by {above}) as top")
+        mid = mid.selectExpr(*group, "n", f"if(level = {level}, (n * at + {float(prior)!r}D * top) / (n + {float(prior)!r}D), at) as at")
+    scale = f"least({chi2(DIMS, 0.5)!r}D / exp((at + 1) / 64), 1.0D) as scale"
+    return stored(spark, now.join(mid.select("level", "g", "at"), ["level", "g"]).selectExpr("level", "g", *(f"m{i}" for i in range(DIMS)), *(f"l{i}{j}" for i, j in _pairs()), scale, "log_det"), "quality-scaled")

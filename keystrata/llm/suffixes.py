@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Bytes of a block: the unit that suffixes are sorted and compared by.
+BLOCK = 24
+
 
 def _words(text: np.ndarray, depth: int) -> np.ndarray:
     """Big-endian 8-byte words at every position of the text and of zeros after it."""
@@ -28,34 +31,63 @@ def ascending(text: np.ndarray) -> np.ndarray:
     return step[decides] > 0
 
 
-def _sorted_directly(at: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in order of the ``depth`` bytes there: three words a round, ties alone going on."""
-    known, rank = np.unique(words, return_inverse=True)
-    bits = max(1, int(len(known)).bit_length())
-    per_round = max(1, 63 // bits)
+def _ranked(keys: np.ndarray) -> np.ndarray:
+    """The place of each key among the distinct keys."""
+    order = np.argsort(keys)
+    sorted_ = keys[order]
+    rank = np.empty(len(keys), np.uint64)
+    rank[order] = np.cumsum(np.concatenate(([False], sorted_[1:] != sorted_[:-1])))
+    return rank
+
+
+def block_ranks(text: np.ndarray, depth: int) -> tuple[np.ndarray, int]:
+    """Ranks of the ``BLOCK`` bytes at every position, and how many bits they take."""
+    rank, width = _ranked(_words(text, depth + 2 * BLOCK)), 8
+    bits = max(1, int(rank.max()).bit_length())
+    while width < BLOCK:
+        times = min(64 // bits, BLOCK // width)
+        n = len(rank) - (times - 1) * width
+        key = np.zeros(n, np.uint64)
+        for k in range(times):
+            key = (key << np.uint64(bits)) | rank[k * width : k * width + n]
+        rank, width = _ranked(key), width * times
+        bits = max(1, int(rank.max()).bit_length())
+        if times == 1:
+            raise ValueError("too much text at once")
+    return rank, bits
+
+
+def _sorted_directly(at: np.ndarray, rank: np.ndarray, bits: int, depth: int) -> np.ndarray:
+    """Positions in order of the ``depth`` bytes there: some blocks a round, ties alone going on."""
     order = at.copy()
-    group = np.zeros(len(at), np.int64)
     active = np.arange(len(at))
-    for o in range(0, depth, 8 * per_round):
-        if not len(active):
-            break
+    group = np.zeros(len(at), np.uint64)  # of the active ones
+    o = 0
+    while o < depth and len(active):
         p = order[active]
-        key = np.zeros(len(p), np.uint64)
-        for k in range(per_round):
-            key = (key << np.uint64(bits)) | rank[np.minimum(p + o + 8 * k, len(rank) - 1)].astype(np.uint64)
-        by = np.lexsort((key, group[active]))
-        p, key, g = p[by], key[by], group[active][by]
+        key, left = group, 64 - (int(group[-1]).bit_length() if len(group) else 0)
+        while left >= bits and o < depth:
+            key = (key << np.uint64(bits)) | rank[p + o]
+            left -= bits
+            o += BLOCK
+        by = np.argsort(key, kind="stable")
+        key, p = key[by], p[by]
         order[active] = p
-        new = np.ones(len(p), bool)
-        new[1:] = (g[1:] != g[:-1]) | (key[1:] != key[:-1])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))
-        group[active] = active[first]
-        last = np.append(new[1:], True)
-        active = active[~(new & last)]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        tied = ~(new & np.append(new[1:], True))
+        group = np.cumsum(new)[tied].astype(np.uint64)
+        if len(group):
+            group = _dense(group)
+        active = active[tied]
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+def _dense(sorted_: np.ndarray) -> np.ndarray:
+    """Ascending numbers made dense."""
+    return np.cumsum(np.concatenate(([False], sorted_[1:] != sorted_[:-1]))).astype(np.uint64)
+
+
+def suffix_array(text: np.ndarray, depth: int, blocks: tuple[np.ndarray, int] | None = None) -> np.ndarray:
     """Suffixes in order of their first ``depth`` bytes at least.
 
     Only suffixes smaller than their successors are sorted directly. One scan
@@ -67,7 +99,8 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     if not n:
         return np.empty(0, np.int64)
     asc = ascending(text)
-    direct = _sorted_directly(np.flatnonzero(asc), _words(text, depth), depth)
+    blocks = blocks or block_ranks(text, depth)
+    direct = _sorted_directly(np.flatnonzero(asc), *blocks, depth)
     starts = np.searchsorted(text[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     waiting[text[n - 1]].append(np.array([n - 1]))
@@ -98,16 +131,28 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int, blocks: tuple[np.ndarray, int] | None = None) -> np.ndarray:
     """Bytes that each suffix shares with the one before it in order, ``depth`` at most; 0 for the first."""
-    words = _words(text, depth)
+    rank, _ = blocks or block_ranks(text, depth)
+    rank = rank.astype(np.uint32)
     lcp = np.zeros(len(order), np.int64)
     active = np.arange(1, len(order))
-    for o in range(0, depth, 8):
-        differ = words[order[active] + o] ^ words[order[active - 1] + o]
-        part = np.full(len(active), 8)
+    one, two = order[1:], order[:-1]
+    for o in range(0, depth, BLOCK):
+        same = rank[one + o] == rank[two + o]
+        lcp[active[~same]] = o
+        active, one, two = active[same], one[same], two[same]
+    lcp[active] = depth
+    # The first block that differs, word by word.
+    words = _words(text, depth)
+    rest = np.flatnonzero(lcp[1:] < depth) + 1 if len(order) else active
+    one, two = order[rest] + lcp[rest], order[rest - 1] + lcp[rest]
+    for _ in range(0, BLOCK, 8):
+        differ = words[one] ^ words[two]
+        part = np.full(len(rest), 8)
         for b in range(8):
             part -= differ >= np.uint64(1 << (8 * b))
-        lcp[active] += part
-        active = active[differ == 0]
+        lcp[rest] += part
+        more = differ == 0
+        rest, one, two = rest[more], one[more] + 8, two[more] + 8
     return np.minimum(lcp, depth)

@@ -98,6 +98,55 @@ def test_quality_rejects_repeated_lines_and_repeated_words(spark):
     assert {i for i, r in got.items() if not r["kept"]} == {2000, 2001, 2002}
 
 
+def brute_mcd(x, half, floors, above, prior, rng, starts=60):
+    """The least determinant that concentration from random starts finds: (mean, covariance, log determinant of its factor)."""
+    best = None
+    for _ in range(starts):
+        inside = x[rng.permutation(len(x))[: max(3, len(x) // 8)]]
+        for _ in range(12):
+            n = len(inside)
+            m1, m2 = inside.mean(0), inside.T @ inside / n
+            if above is not None:
+                m1, m2 = (n * m1 + prior * above[0]) / (n + prior), (n * m2 + prior * above[1]) / (n + prior)
+            cov = m2 - np.outer(m1, m1) + np.diag(floors**2)
+            d = ((x - m1) @ np.linalg.inv(cov) * (x - m1)).sum(1)
+            inside = x[np.argsort(d)[: -(-int(half * len(x) * 1000) // 1000)]]
+        det = np.linalg.slogdet(cov)[1] / 2
+        if best is None or det < best[0]:
+            best = det, m1, m2, cov
+    return best
+
+
+def test_quality_estimates_have_the_least_determinant(spark):
+    rng = np.random.default_rng(3)
+    floors = np.array(list(quality.VECTOR.values()))
+    parts = {("=a", "=s"): 300, ("=a", "=t"): 12, ("=b", "=s"): 90}
+    x, tags = [], []
+    for k, (tag, n) in enumerate(parts.items()):
+        good = rng.normal(0, 0.1, (n, 4)) @ rng.normal(0, 1, (4, 4)) + k * 0.1
+        good[: n // 5] += rng.normal(2.0, 0.3, (n // 5, 4))  # a fifth far away
+        x.append(good)
+        tags += [tag] * n
+    fixed = np.round(np.concatenate(x) * quality.UNIT).astype(int)
+    json = lambda *t: "[" + ",".join(f'"{v}"' for v in t) + "]"
+    df = spark.createDataFrame([(json(a, b), json(a), *map(int, v)) for (a, b), v in zip(tags, fixed)], "g string, g1 string, x0 long, x1 long, x2 long, x3 long")
+    got = {(r["level"], r["g"]): r for r in quality._mcd(spark, df, 50.0, 0.75, 6).collect()}
+    assert len(got) == 1 + 2 + 3
+    v = fixed / quality.UNIT
+    levels = [{"[]": v}, {json(t): v[[a == t for a, _ in tags]] for t in ("=a", "=b")}, {json(a, b): v[[t == (a, b) for t in tags]] for a, b in parts}]
+    up = {json("=a"): "[]", json("=b"): "[]"} | {json(a, b): json(a) for a, b in parts}
+    above = {}
+    for level, groups in enumerate(levels):
+        for g, rows in groups.items():
+            det, m1, m2, cov = brute_mcd(rows, 0.75, floors, above.get(up.get(g)), 50.0, rng)
+            above[g] = m1, m2
+            r = got[level, g]
+            low = np.array([[r[f"l{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+            assert r["log_det"] <= det + 0.1, g
+            assert np.abs([r[f"m{i}"] - m1[i] for i in range(4)]).max() < 0.1, g
+            assert np.abs(low @ low.T - cov).max() < 0.1 * np.abs(cov).max(), g
+
+
 def test_quality_repeats_with_clashing_hashes(spark, monkeypatch):
     monkeypatch.setattr(quality, "_POS_BITS", 60)  # four bits of hash are left: nearly all clash
     w = [random.Random(3).choice("abc") for _ in range(60)]
@@ -217,7 +266,7 @@ def test_suffix_array_and_prefixes():
     rng = random.Random(7)
     for _ in range(120):
         b = bytes(rng.choice([0, 1, 1, 2, 255]) for _ in range(rng.randint(1, 90)))
-        t, depth = np.frombuffer(b, np.uint8), rng.choice([8, 24, 400])
+        t, depth = np.frombuffer(b, np.uint8), rng.choice([8, 24, 200, 400])
         order = suffix_array(t, depth)
         assert sorted(order.tolist()) == list(range(len(b)))
         cut = [b[i : i + depth] for i in order]
@@ -241,22 +290,58 @@ def brute_removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("most", [1, 4096])
-def test_suffix_dedup(spark, docs, rows, none, most, monkeypatch):
-    monkeypatch.setattr(suffix_dedup.spans, "__defaults__", (400, 200, most))
+def brute_digests(rows, length=400, passage=200, words=50):
     raw = [(t or "").encode() for _, t, *_ in rows]
-    want = []
-    for (i, *_), t, gone in zip(rows, raw, brute_removed(raw, 400)):
+    for (i, *_), t, gone, short in zip(rows, raw, brute_removed(raw, length), brute_removed(raw, passage)):
+        cuts = [m.span() for m in re.finditer(b"\1+", short) if len(t[slice(*m.span())].split()) > words]
+        left = bytes(c for k, c in enumerate(t) if not any(a <= k < b for a, b in cuts))
         kept = bytes(c for c, g in zip(t, gone) if not g)
-        want.append((i, len(t), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(kept).hexdigest()))
-    assert sorted(map(tuple, suffix_dedup.digests(spark, docs).collect())) == sorted(want)
+        yield (i, len(t), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(kept).hexdigest(), len(cuts), len(t) - len(left), sum(c & 0xC0 != 0x80 for c in left))
+
+
+@pytest.mark.parametrize("most", [0, 1, 4096])
+def test_suffix_dedup(spark, docs, rows, none, most):
+    assert sorted(map(tuple, suffix_dedup.digests(spark, docs, most=most).collect())) == sorted(brute_digests(rows))
     assert suffix_dedup.digests(spark, none).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 3, 4096])
+def test_suffix_dedup_of_one_passage_in_many_texts(spark, most):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdeü") for _ in range(rng.randint(2, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    part = text(90)
+    rows = []
+    for i in range(60):
+        a, b = rng.randrange(0, 40), rng.randrange(50, len(part))
+        rows.append((i, text(20) + part[a:b] + rng.choice(["", "a", "ab", "abc"]) + text(20), None, None, None))
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, suffix_dedup.digests(spark, df, most=most).collect())) == sorted(brute_digests(rows))
+
+
+def test_passages_of_over_fifty_words_go_and_others_stay(spark):
+    rng = random.Random(15)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    rows, planted, cut = [], {}, {}
+    for k in range(40):
+        part = text(rng.randint(51, 80))
+        for copy in range(2 + k % 3):
+            i, before, after = 10 * k + copy, text(60), text(60)
+            planted[i], cut[i] = part, before + "\n" + "\n" + after
+            rows.append((i, before + "\n" + part + "\n" + after, None, None, None))
+    clean = {1000 + i: text(rng.randint(60, 200)) for i in range(60)}
+    short = text(40)
+    clean |= {2000 + i: text(60) + "\n" + short + "\n" + text(60) for i in range(3)}  # forty shared words
+    df = spark.createDataFrame(rows + [(i, t, None, None, None) for i, t in clean.items()], SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.deduplicated(spark, df).collect()}
+    assert all(got[i] == t for i, t in clean.items())
+    assert all(planted[i] not in got[i] and len(got[i]) <= len(cut[i]) and got[i][:200] == cut[i][:200] for i in planted)
+
+
 def test_suffix_dedup_keeps_columns_and_whole_characters(spark):
     part = "ü" * 300
     df = spark.createDataFrame([(1, "a" + part + "z", "x"), (2, "b" + part, "y"), (3, None, "z")], "doc_id long, text string, _len string")
-    assert sorted(map(tuple, suffix_dedup.deduplicated(spark, df).collect())) == [(1, "az", "x"), (2, "b", "y"), (3, None, "z")]
+    assert sorted(map(tuple, suffix_dedup.deduplicated(spark, df, words=0).collect())) == [(1, "az", "x"), (2, "b", "y"), (3, None, "z")]
 
 
 def brute_components(rows, words=5, num=75, den=100):
