@@ -27,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes that a string of 400 bytes found elsewhere covers are cut out; every document stays."""
+    """Passages of more than fifty words that are found elsewhere are cut out; every document stays."""
     return suffix_dedup.deduplicated(spark, docs)
 
 
