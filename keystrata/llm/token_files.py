@@ -11,6 +11,7 @@ documents' tokens or the metadata alone.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -44,7 +45,8 @@ class Encoder:
     encoded in runs, and told apart by the bytes that each id stands for; runs
     of letters alone are cut at their blanks and at nothing else. Stretches met
     before have their ids in one pool. Texts in which a blank touches
-    other white space are one stretch.
+    other white space are one stretch, and so are those that hold one of the
+    vocabulary's special strings, which get its ids as the library has it.
     """
 
     def __init__(self, file: str):
@@ -55,7 +57,11 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         self.tokenizer, self.at_blanks = Tokenizer.from_file(file), Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = self.at_blanks.encode_special_tokens = True  # special strings in a text are ordinary text
+        # Runs of stretches, which may put a special string together that no text has, are read as ordinary text.
+        self.runs = Tokenizer.from_file(file)
+        self.runs.encode_special_tokens = self.at_blanks.encode_special_tokens = True
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.whole = "|".join([_WHOLE, *map(re.escape, special)])
         self.at_blanks.pre_tokenizer = Sequence([Split(" ", "merged_with_next"), ByteLevel(add_prefix_space=False, use_regex=False)])
         # In a byte-level vocabulary each character of an entry stands for one byte.
         self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
@@ -75,7 +81,7 @@ class Encoder:
     def _learn(self, fresh: list[str], lengths: np.ndarray, letters: int) -> None:
         """Keep the ids of stretches (without their blank) of so many bytes each; the first ``letters`` are letters alone."""
         runs, counts = [], []
-        for tokenizer, first, last in ((self.at_blanks, 0, letters), (self.tokenizer, letters, len(fresh))):
+        for tokenizer, first, last in ((self.at_blanks, 0, letters), (self.runs, letters, len(fresh))):
             for at in range(first, last, RUN):
                 some = slice(at, min(at + RUN, last))
                 ids = self._ids(tokenizer, [" " + " ".join(fresh[some])])[0]
@@ -104,7 +110,7 @@ class Encoder:
     def encode(self, texts: pa.Array, end: list[int] = ()) -> pa.ListArray:
         """Each text's ids with those of ``end`` after them; a null text is empty."""
         texts = pc.fill_null(texts, "")
-        whole = pc.match_substring_regex(texts, _WHOLE)
+        whole = pc.match_substring_regex(texts, self.whole)
         cut = pc.split_pattern(pc.if_else(whole, "", texts), " ")
         offsets, words = np.asarray(cut.offsets).astype(np.int64), cut.flatten()
         offsets = offsets - offsets[0]
@@ -172,13 +178,16 @@ def _encoded(file: str, end_id: int, batch_bytes: int = 4 << 20):
     return run
 
 
-def written(spark: SparkSession, docs: DataFrame, file: str, end_id: int, path: str, parts: int | None = None, row_group: int = 32 << 20, page: int = 256 << 10, encoding: str = "delta") -> str:
+def written(spark: SparkSession, docs: DataFrame, file: str, end_id: int, path: str, parts: int | None = None, row_group: int = 32 << 20, page: int = 256 << 10, page_rows: int = 1024, encoding: str = "delta") -> str:
     """Write ids of ``docs`` (doc_id, text) in ascending id order as Parquet files under ``path``.
 
     Columns: part (the file's place among all), seq (the row's place in its
     part), doc_id, n_tokens, ids list<int>. Each part is one range of ids; there are
-    ``parts`` of them, or as many as ``docs`` has. ``encoding``: delta or
-    dictionary for the ids. Rows of equal ids keep one order in the file; null ids come first.
+    ``parts`` of them, or as many as ``docs`` has. ``row_group``, ``page``:
+    bytes of a row group and of a page, which has ``page_rows`` rows at most.
+    ``encoding``: delta or dictionary for the ids. A null or empty text has the
+    end id alone; a very long one is encoded whole, as one row; rows of equal
+    ids keep one order in the file; null ids come first.
     """
     if encoding not in ("delta", "dictionary"):
         raise ValueError(encoding)
@@ -200,13 +209,14 @@ def written(spark: SparkSession, docs: DataFrame, file: str, end_id: int, path:
         return numbered(_encoded(file, end_id)(batches))
 
     out = ranged.mapInArrow(both, "part int, seq long, doc_id long, n_tokens long, ids array<int>")
-    writer = out.write.option("parquet.writer.version", "v2").option("parquet.block.size", row_group).option("parquet.page.size", page).option("parquet.page.write-checksum.enabled", "true")
+    writer = out.write.option("parquet.writer.version", "v2").option("parquet.block.size", row_group).option("parquet.page.size", page).option("parquet.page.row.count.limit", page_rows).option("parquet.page.write-checksum.enabled", "true")
     writer = writer.option("parquet.enable.dictionary#ids.list.element", str(encoding == "dictionary").lower()).option("parquet.enable.dictionary#doc_id", "false").option("parquet.enable.dictionary#seq", "false")
     writer.parquet(path)
     return path
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the files. A filter on doc_id or seq reaches the row groups' and pages' indexes, and columns that aren't asked for aren't read."""
     return spark.read.schema("part int, seq long, doc_id long, n_tokens long, ids array<int>").parquet(path)
 
 

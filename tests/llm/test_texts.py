@@ -171,13 +171,24 @@ def test_winnow_matches_brute_force(monkeypatch):
     for n in (0, 1, 5, 30, 200, 700):
         t = "".join(rng.choice("abé") for _ in range(n))
         want = brute_winnow(t, 5, 9)
-        got = [(int(e) >> 20, int(e) & (2**20 - 1)) for e in winnow.winnow(t, 5, 9)]
-        assert got == want
+        assert list(zip(*(x.tolist() for x in winnow.winnow(t, 5, 9)))) == want
     t = "".join(rng.choice("ab") for _ in range(500))
-    whole = winnow.winnow(t, 5, 9)
     monkeypatch.setattr(winnow, "_SPAN", 64)  # long texts go in stretches
     monkeypatch.setattr(winnow, "_POS_BITS", np.uint64(6))
-    assert len(winnow.winnow(t, 5, 9)) >= len(whole) * 0.9
+    assert list(zip(*(x.tolist() for x in winnow.winnow(t, 5, 9)))) == [(h & (2**58 - 1), p) for h, p in brute_winnow(t, 5, 9)]
+
+
+def test_winnow_of_a_very_long_text():
+    rng = np.random.default_rng(5)
+    t = bytes(rng.integers(97, 100, (1 << 20) + 300_000).astype(np.uint8)).decode()
+    hashes, places = winnow.winnow(t)
+    assert (np.diff(places) > 0).all() and places[-1] > 1 << 20 and np.diff(places).max() <= winnow.WINDOW
+    h = winnow.kgram_hashes(np.frombuffer(t.encode("utf-32-le"), np.uint32))
+    assert (h[places] == hashes).all()
+    for a in [0, (1 << 20) - 200, (1 << 20) - 40, (1 << 20) + 5, len(h) - winnow.WINDOW]:
+        window = h[a : a + winnow.WINDOW]
+        assert a + int(np.flatnonzero(window == window.min())[-1]) in places
+    assert len(winnow.shown((hashes, places))) == 20 * len(places)
 
 
 def test_winnow_guarantee():
@@ -185,12 +196,14 @@ def test_winnow_guarantee():
     part = "".join(rng.choice("abcdefgh ") for _ in range(winnow.K + winnow.WINDOW - 1))
     a, b = ("".join(rng.choice("xyz") for _ in range(300)) for _ in range(2))
     one, two = winnow.winnow(a + part + b), winnow.winnow(b + part + a)
-    assert set((one >> np.uint64(20)).tolist()) & set((two >> np.uint64(20)).tolist())
+    assert set(one[0].tolist()) & set(two[0].tolist())
 
 
-def test_fingerprints(spark, docs, rows, none):
+@pytest.mark.parametrize("quantiles", [4096, 7])
+def test_fingerprints(spark, docs, rows, none, monkeypatch, quantiles):
+    monkeypatch.setattr(winnow, "QUANTILES", quantiles)
     got = {}
-    for r in winnow.fingerprints(spark, docs, part_bytes=1000).collect():
+    for r in winnow.fingerprints(spark, docs.selectExpr("*", "1 as part", "2 as at", "3 as tail"), part_bytes=1000).collect():
         got.setdefault(r["doc_id"], []).append(r)
     ordered = sorted(rows, key=lambda r: -r[0])
     assert sum(map(len, got.values())) == len(rows)
@@ -237,15 +250,48 @@ def test_token_files_layout(spark, docs, tmp_path):
     assert ids and all("DELTA_BINARY_PACKED" in c.encodings and c.has_offset_index and c.has_column_index for c in ids)
 
 
+def _scanned(df):
+    """Rows that the file scan of a plan handed on."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(p):
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            p = p.executedPlan()
+        if p.getClass().getSimpleName() == "FileSourceScanExec":
+            found.append(p.metrics().apply("numOutputRows").value())
+        for i in range(p.children().size()):
+            walk(p.children().apply(i))
+
+    walk(plan)
+    return sum(found)
+
+
+def test_token_files_are_read_in_part(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    df = spark.range(20_000).selectExpr("id as doc_id", "concat('text number ', id, ' of many') as text")
+    file = tokenizer_file("byte_bpe_50k.json")
+    path = token_files.written(spark, df, file, 2, f"file://{tmp_path}/t", parts=2, row_group=64 << 10, page=4 << 10, page_rows=100)
+    some = token_files.read(spark, path).where("doc_id between 7000 and 7009")
+    assert [r["doc_id"] for r in sorted(some.collect())] == list(range(7000, 7010))
+    assert 10 <= _scanned(some.select("doc_id", "ids")) <= 300  # a page or two of 20,000 rows
+    groups = [pq.ParquetFile(p).metadata.row_group(0) for p in tmp_path.glob("t/part-*")]
+    size = lambda name: sum(g.column(c).total_compressed_size for g in groups for c in range(g.num_columns) if g.column(c).path_in_schema.startswith(name))
+    assert (size("doc_id") + size("n_tokens")) * 4 < size("ids")  # what a read of the metadata alone leaves out
+    assert "ids" not in token_files.read(spark, path).select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+
+
 def test_encoder_equals_plain_encoding(monkeypatch):
     from tokenizers import Tokenizer
 
     file = tokenizer_file("byte_bpe_50k.json")
     encoder, plain = token_files.Encoder(file), Tokenizer.from_file(file)
     rng = random.Random(6)
-    plain.encode_special_tokens = True
     parts = ["a", "b ", " c", "  ", "\n", "é", "'s", "12", ".", "日", "\t", "x y", "\0", " wörd", "\x1c", "\x85", "\u3000", " ", "<|endoftext|>"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(400)] + [None]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\n<|endoftext|> y", "a <|endof text|> b <|endoftext| >"]
+    assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     monkeypatch.setattr(token_files, "CACHED", 300)  # so that stretches are forgotten as well
     for at in range(0, len(texts), 7):
         some = texts[at : at + 7]
