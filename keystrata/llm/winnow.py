@@ -14,12 +14,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .util import asked, stored
+
 K, WINDOW = 24, 77
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _POS_BITS = np.uint64(20)
+#: Hashes that windows are slid over at once; a hash and its place among them share 64 bits meanwhile.
 _SPAN = 1 << 20
 
 
@@ -66,15 +70,17 @@ def _grown(first: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def winnow(text: str, k: int = K, w: int = WINDOW) -> np.ndarray:
-    """The kept entries of a text in order: hash in the upper 44 bits, position mod 2^20 in the lower 20."""
+def winnow(text: str, k: int = K, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The kept entries of a text in order: their 44-bit hashes, and their positions, whatever the text's length."""
     hashes = kgram_hashes(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), k)
     n = len(hashes)
     if n == 0:
-        return hashes
+        return hashes, np.empty(0, np.int64)
     w = min(w, n)
-    kept = []
-    step = _SPAN - w + 1  # windows of one stretch have positions that fit 20 bits
+    if w > _SPAN // 2:
+        raise ValueError("the window is too wide")
+    kept, places = [], []
+    step = _SPAN - w + 1  # windows of one stretch have places that fit 20 bits
     for at in range(0, n - w + 1, step):
         part = hashes[at : at + step + w - 1]
         local = np.arange(len(part), dtype=np.uint64)
@@ -85,22 +91,26 @@ def winnow(text: str, k: int = K, w: int = WINDOW) -> np.ndarray:
             key = np.minimum(key[: len(key) - add], key[add:])
             size += add
         key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-        place = (np.uint64(_SPAN - 1) - (key & np.uint64(_SPAN - 1)) + np.uint64(at)) & np.uint64(_SPAN - 1)
-        kept.append((key >> _POS_BITS << _POS_BITS) | place)
-    out = np.concatenate(kept)
-    return out[np.concatenate(([True], out[1:] != out[:-1]))]
+        kept.append(key >> _POS_BITS)
+        places.append((np.uint64(_SPAN - 1) - (key & np.uint64(_SPAN - 1))).astype(np.int64) + at)
+    out, place = np.concatenate(kept), np.concatenate(places)
+    new = np.concatenate(([True], place[1:] != place[:-1]))  # a stretch may begin with what the last one ended with
+    return out[new], place[new]
 
 
-def shown(entries: np.ndarray) -> str:
-    """16 hex digits an entry: 11 of the hash, 5 of the position."""
-    return entries.astype(">u8").tobytes().hex()
+def shown(entries: tuple[np.ndarray, np.ndarray]) -> str:
+    """20 hex digits an entry: 12 of the hash, 8 of the position."""
+    raw = np.empty((len(entries[0]), 10), np.uint8)
+    raw[:, :6] = entries[0].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+    raw[:, 6:] = entries[1].astype(">u4").view(np.uint8).reshape(-1, 4)
+    return raw.tobytes().hex()
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Jaccard similarity of two fingerprints' hashes; 1 for two empty ones."""
-    a, b = np.unique(a >> _POS_BITS), np.unique(b >> _POS_BITS)
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    whole = len(a) + len(b) - both
+    one, two = np.unique(a[0]), np.unique(b[0])
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    whole = len(one) + len(two) - both
     return both / whole if whole else 1.0
 
 
@@ -125,7 +135,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 new = edited(last[2], text)
                 other = winnow(new)
                 rows.append((last[1], len(last[2]), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), shown(last[3]), shown(other), likeness(last[3], other), likeness(last[3], own)))
-                held += 32 * (len(last[3]) + len(other))
+                held += 40 * (len(last[3][0]) + len(other[0]))
             last = None if tail else (part, doc_id, text, own)
             if held > 8 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -148,31 +158,53 @@ def _part(doc_id: Column, bounds: list[int]) -> Column:
     return search if bounds else F.lit(0)
 
 
-def fingerprints(spark: SparkSession, docs: DataFrame, part_bytes: int = 4 << 20, most_parts: int = 20_000) -> DataFrame:
+#: Quantiles that ranges of ids are cut at; a range between two is cut evenly into as many cells as its bytes ask for.
+QUANTILES = 4096
+
+
+def _cells(rows: DataFrame, part_bytes: int) -> tuple[Column, int] | None:
+    """A column that puts descending ids (``at``) into ascending cells of about ``part_bytes`` of text, and the number of cells; None for no rows."""
+    size, least, most = rows.agg(F.sum(F.octet_length("text")), F.min("at"), F.max("at")).first()
+    if size is None:
+        return None
+    cells = int(max(64, size // part_bytes))
+    ranges = min(cells, QUANTILES)
+    inner = -(-cells // ranges)
+    cuts = rows.agg(F.percentile_approx("at", [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges).alias("c")).first()["c"]
+    cuts = sorted(set(cuts), reverse=True)
+    part = _part(F.col("at"), cuts)
+    if inner == 1:
+        return part, cells
+    # Ids of part p are between the cuts p (not included) and p - 1: even steps from the upper end; casts and differences keep the order.
+    ends = [float(most), *map(float, cuts), float(least)]
+    upper, lower = (F.get(F.array(*map(F.lit, x)), part) for x in (ends[:-1], ends[1:]))
+    step = F.floor((upper - F.col("at").cast("double")) / F.greatest(upper - lower, F.lit(1.0)) * inner)
+    return part.cast("long") * inner + F.least(F.greatest(step, F.lit(0)), F.lit(inner - 1)), cells
+
+
+def fingerprints(spark: SparkSession, docs: DataFrame, part_bytes: int = 16 << 20) -> DataFrame:
     """Fingerprints of every row of ``docs`` (doc_id, text) and of its edited text, and their likeness.
 
     Next: the document after this one by descending doc_id, the first after the
-    last. Ids are cut into ranges of about ``part_bytes`` of text each
-    (``most_parts`` at most); a range's rows are worked through in order by one
-    task, and the first row of each range is also sent to the range before it,
-    so texts are shuffled once. Null texts are empty, and empty texts have empty
-    fingerprints, which are like each other only; null ids come last; rows of
-    equal ids are in the order of their texts' hashes; a table of one row is its
-    own next; an empty one gives no rows.
+    last. Ids are cut into cells of about ``part_bytes`` of text; a cell's rows
+    are worked through in order by one task, and the first row of each cell is
+    also sent to the cell before it, so texts are shuffled once. Null texts are
+    empty, and empty texts have empty fingerprints, which are like each other
+    only; null ids come last; rows of equal ids are in the order of their texts'
+    hashes; very long texts are fingerprinted whole, in stretches that join up;
+    other columns of ``docs``, of whatever name, are left out; a table of one
+    row is its own next; an empty one gives no rows.
     """
     rows = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("at"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    size, = rows.agg(F.sum(F.octet_length("text"))).first()
-    if size is None:
+    found = _cells(rows, part_bytes)
+    if found is None:
         return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    parts = int(max(1, min(most_parts, max(64, size // part_bytes))))
-    cuts = rows.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)] or [0.5], 10 * parts).alias("c")).first()["c"]
-    cuts = sorted(set(cuts), reverse=True)
-    rows = rows.withColumn("part", _part(F.col("at"), cuts))
-    heads = dict(rows.groupBy("part").agg(F.max("at")).collect())  # one row for each range
-    order = sorted(heads)
-    before = F.element_at(F.create_map(*[F.lit(x) for p, q in zip(order, order[-1:] + order[:-1], strict=True) for x in (p, q)]), F.col("part"))
-    is_head = F.col("at") == F.element_at(F.create_map(*[F.lit(x) for p in order for x in (p, heads[p])]), F.col("part"))
-    places = F.when(is_head, F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("t")), F.struct(before.alias("p"), F.lit(1).alias("t")))).otherwise(F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("t"))))
-    sent = rows.withColumn("to", F.explode(places)).select(F.col("to.p").alias("part"), F.col("to.t").alias("tail"), "at", "doc_id", "text")
-    dealt = sent.repartition(len(order), "part").sortWithinPartitions("part", "tail", F.desc("at"), F.xxhash64("text"))
+    cell, cells = found
+    heads = rows.groupBy(cell.cast("long").alias("part")).agg(F.max("at").alias("at"))
+    in_order = W.orderBy("part")
+    last = F.max("part").over(in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    heads = stored(spark, heads.select("at", F.coalesce(F.lag("part").over(in_order), last).alias("part")), "winnow-heads")  # a row for each cell
+    own = rows.select(cell.cast("long").alias("part"), F.lit(0).alias("tail"), "at", "doc_id", "text")
+    after = asked(rows, heads, "at").where("_asked").drop("_asked").join(heads, "at").select("part", F.lit(1).alias("tail"), "at", "doc_id", "text")
+    dealt = own.union(after).repartition(min(cells, 1 << 16), "part").sortWithinPartitions("part", "tail", F.desc("at"), F.xxhash64("text"))
     return dealt.drop("at").mapInArrow(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
