@@ -77,7 +77,8 @@ t AS (SELECT p.doc_id, sum((least(a + size, (p.blk + 1) * block) - greatest(a, p
 SELECT d.doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source LEFT JOIN t ON t.doc_id = d.doc_id"""
 
 
-def url_tree(rules: list[urltree.Rule], min_labels: int = 20, z: float = 3.0, prior_weight: float = 10.0, limit: float = 0.8) -> str:
+def url_tree(rules: list[urltree.Rule], depth: int = 4, apart: float = 0.3, weight: float = 10.0, prior_weight: float = 10.0, limit: float = 0.8) -> str:
+    """The tree of paths of up to ``depth`` segments, which is more than ``pages`` has; a test holds deeper ones against brute force."""
     fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     ordered = sorted(rules, key=lambda r: -len(r.name))
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.name}'" for r in ordered) + " END"
@@ -85,26 +86,26 @@ def url_tree(rules: list[urltree.Rule], min_labels: int = 20, z: float = 3.0, pr
     # RE2 has no lookahead: a mixed id is a long run of its characters that holds a digit.
     ending = r"(\.[A-Za-z0-9]{1,5})?"
     variable = f"regexp_full_match(x, '([0-9]+|[0-9a-fA-F]{{8,}}|[0-9]{{4}}-[0-9]{{2}}(-[0-9]{{2}})?){ending}') OR (regexp_full_match(x, '[A-Za-z0-9_-]{{16,}}{ending}') AND regexp_matches(x, '[0-9]'))"
-    n = urltree.LEVELS
+    counts = ("n", "l", "b", "e", "v")
+    far = urltree.distance({c: f"h.{c}" for c in counts}, {c: f"(a.{c} - h.{c})" for c in counts}, weight)
+    sums = ", ".join(f"sum({c}) AS {c}" for c in counts)
     steps = []
-    for k in range(n + 1):
-        old = f"t{k}"
+    for k in range(depth):
         steps.append(f"""
-h{k} AS (SELECT host, template, seg[{k + 1}] AS s, sum(n) AS sn, sum(b) AS sb FROM {old} WHERE len(seg) > {k} GROUP BY 1, 2, 3),
-a{k} AS (SELECT host, template, (sum(sb) + 0.5::DOUBLE) / (sum(sn) + 1.0::DOUBLE) AS share FROM h{k} GROUP BY 1, 2),
-l{k} AS (SELECT h.host, h.template, s, true AS literal FROM h{k} h JOIN a{k} a ON a.host = h.host AND a.template = h.template WHERE s <> '*' AND sn >= {min_labels} AND abs(sb - sn * share) >= {z} * sqrt(sn * share * (1 - share))),
-t{k + 1} AS (SELECT t.host, t.shape, t.seg, t.n, t.b, CASE WHEN len(t.seg) <= {k} THEN t.template ELSE t.template || '/' || CASE WHEN l.literal OR t.seg[{k + 1}] = '**' THEN t.seg[{k + 1}] ELSE '*' END END AS template FROM {old} t LEFT JOIN l{k} l ON l.host = t.host AND l.template = t.template AND l.s = t.seg[{k + 1}] AND len(t.seg) > {k})""")
+h{k} AS (SELECT host, template, seg[{k + 1}] AS s, sum(n) AS n, sum(l) AS l, sum(b) AS b, sum(CASE WHEN len(seg) = {k + 1} THEN n ELSE 0 END) AS e, sum(CASE WHEN seg[{k + 2}] = '*' THEN n ELSE 0 END) AS v FROM t{k} WHERE len(seg) > {k} GROUP BY 1, 2, 3),
+a{k} AS (SELECT host, template, {sums} FROM h{k} GROUP BY 1, 2),
+l{k} AS (SELECT h.host, h.template, s, true AS literal FROM h{k} h JOIN a{k} a ON a.host = h.host AND a.template = h.template WHERE s <> '*' AND a.n > h.n AND {far} >= {apart}),
+t{k + 1} AS (SELECT t.host, t.shape, t.seg, t.n, t.l, t.b, CASE WHEN len(t.seg) <= {k} THEN t.template ELSE t.template || '/' || CASE WHEN l.literal THEN t.seg[{k + 1}] ELSE '*' END END AS template FROM t{k} t LEFT JOIN l{k} l ON l.host = t.host AND l.template = t.template AND l.s = t.seg[{k + 1}] AND len(t.seg) > {k})""")
     return f"""
 WITH p0 AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p1 AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_UPPER.lower()}') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM p0),
 p2 AS (SELECT *, {rule} AS rule FROM p1),
 p3 AS (SELECT *, {ruled} AS ruled, [CASE WHEN {variable} THEN '*' ELSE x END for x in string_split(path, '/') if x <> ''] AS q FROM p2),
-p AS (SELECT page_id, host, path, rule, ruled, array_to_string(CASE WHEN len(q) > {n} THEN q[1:{n}] || ['**'] ELSE q END, '/') AS shape FROM p3),
-t0 AS (SELECT host, shape, string_split(shape, '/') AS seg, count(ruled) AS n, count(*) FILTER (WHERE ruled = 'block') AS b, '' AS template FROM p GROUP BY host, shape),{",".join(steps)},
-o AS (SELECT host, sum(b) / (sum(n) + {prior_weight}::DOUBLE) AS prior FROM t{n + 1} GROUP BY host),
-u AS (SELECT t.host, template, (sum(b) + {prior_weight}::DOUBLE * prior) / (sum(n) + {prior_weight}::DOUBLE) AS purity FROM t{n + 1} t JOIN o ON o.host = t.host GROUP BY t.host, template, prior)
+p AS (SELECT page_id, host, path, rule, ruled, array_to_string(q, '/') AS shape FROM p3),
+t0 AS (SELECT host, shape, CASE WHEN shape = '' THEN [] ELSE string_split(shape, '/') END AS seg, count(*) AS n, count(ruled) AS l, count(*) FILTER (WHERE ruled = 'block') AS b, '' AS template FROM p GROUP BY host, shape),{",".join(steps)},
+u AS (SELECT host, template, (sum(b) + {prior_weight / 2}::DOUBLE) / (sum(l) + {prior_weight}::DOUBLE) AS purity FROM t{depth} GROUP BY host, template)
 SELECT page_id, p.host, path, rule, coalesce(ruled, CASE WHEN purity > {limit} THEN 'block' ELSE 'allow' END) AS verdict, t.template, purity
-FROM p JOIN t{n + 1} t ON t.host = p.host AND t.shape = p.shape JOIN u ON u.host = t.host AND u.template = t.template"""
+FROM p JOIN t{depth} t ON t.host = p.host AND t.shape = p.shape JOIN u ON u.host = t.host AND u.template = t.template"""
 
 
 def warc(least: int = 100) -> str:

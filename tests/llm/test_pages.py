@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -130,4 +131,93 @@ def test_templates_are_rejected_by_purity(spark):
     labels = spark.createDataFrame([(i, i < 60) for i, _ in rows if i < 200], "page_id long, bad boolean")
     got = {r["page_id"]: r for r in urltree.judged(spark, spark.createDataFrame(rows, "page_id long, url string"), [], labels).collect()}
     assert got[200]["verdict"] == "block" and got[201]["verdict"] == "allow"
-    assert got[200]["template"] == "/spam/*/*" and got[0]["purity"] == pytest.approx((60 + 10 * 60 / 130) / 70)
+    assert got[200]["template"] == "/spam/*/*" and got[0]["purity"] == pytest.approx(65 / 70)
+
+
+def brute_tree(rows, apart=0.3, weight=10.0, prior_weight=10.0):
+    """(host, segments, label or None) of all pages to each one's (template, purity), by recursion from each host's root."""
+    out = [None] * len(rows)
+    profile = lambda some, k: (
+        Counter({True: "bad", False: "good", None: "none"}[rows[i][2]] for i in some),
+        Counter("end" if len(rows[i][1]) == k else "varies" if rows[i][1][k] == "*" else "fixed" for i in some),
+    )
+
+    def far(some, others, k):
+        way = [sum(abs(a[x] / len(some) - b[x] / len(others)) for x in {*a, *b}) / 2 for a, b in zip(profile(some, k), profile(others, k))]
+        return max(way) * len(some) / (len(some) + weight) * len(others) / (len(others) + weight)
+
+    def grow(some, k, template):
+        ended = [i for i in some if len(rows[i][1]) == k]
+        for i in ended:
+            out[i] = template
+        children = defaultdict(list)
+        for i in some:
+            if len(rows[i][1]) > k:
+                children[rows[i][1][k]].append(i)
+        every = [i for c in children.values() for i in c]
+        merged = []
+        for s, c in children.items():
+            others = [i for i in every if rows[i][1][k] != s]
+            if s != "*" and others and far(c, others, k + 1) >= apart:
+                grow(c, k + 1, f"{template}/{s}")
+            else:
+                merged += c
+        if merged:
+            grow(merged, k + 1, f"{template}/*")
+
+    for host in {h for h, _, _ in rows}:
+        grow([i for i, r in enumerate(rows) if r[0] == host], 0, "")
+    labels = defaultdict(list)
+    for (host, _, bad), t in zip(rows, out):
+        labels[host, t] += [bad] if bad is not None else []
+    return [(t, (sum(labels[r[0], t]) + prior_weight / 2) / (len(labels[r[0], t]) + prior_weight)) for r, t in zip(rows, out)]
+
+
+def random_pages(n, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        host = rng.choice(["a", "a", "a", "b", "c"])
+        first = rng.choice(["en", "en", "spam", "de", "tag"])
+        seg = [first]
+        if first == "spam":
+            seg += [rng.choice(["x", "y"]), "*"]
+        elif first == "tag":
+            seg += rng.choice([[], ["one"], ["two"]])
+        else:
+            seg += ["*"] * rng.randint(0, 2)
+        seg += [rng.choice("pqr") for _ in range(rng.choice([0, 0, 0, 7]))]
+        bad = rng.random() < (0.95 if first == "spam" else 0.1)
+        rows.append((host, seg, bad if rng.random() < (0.9 if first == "spam" and "x" in seg else 0.2) else None))
+    return rows
+
+
+@pytest.mark.parametrize("n, seed", [(900, 1), (150, 2)])
+def test_tree_against_brute_force(spark, n, seed):
+    rows = random_pages(n, seed)
+    url = lambda h, seg: f"http://{h}/" + "/".join(str(10_000 + k) if s == "*" else s for k, s in enumerate(seg))
+    df = spark.createDataFrame([(i, url(h, seg), "x") for i, (h, seg, _) in enumerate(rows)], "page_id long, url string, template string")
+    labels = spark.createDataFrame([(i, bad) for i, (_, _, bad) in enumerate(rows) if bad is not None], "page_id long, bad boolean")
+    got = {r["page_id"]: r for r in urltree.judged(spark, df, [], labels).collect()}
+    want = brute_tree(rows)
+    assert [got[i]["template"] for i in range(n)] == [t for t, _ in want]
+    assert [got[i]["purity"] for i in range(n)] == pytest.approx([p for _, p in want])
+    assert all(got[i]["verdict"] == ("block" if p > 0.8 else "allow") for i, (_, p) in enumerate(want))
+    if n == 900:
+        assert len({t for t, _ in want}) > 12 and any(p > 0.8 for _, p in want)
+
+
+def test_verdicts_do_not_turn_with_the_number_of_pages(spark):
+    for times in (1, 8):
+        rows = [(k, f"http://h/{lang}/{i}") for k, (lang, i) in enumerate((lang, i) for lang in ("en", "de", "fr") for i in range(20 * times))]
+        labels = spark.createDataFrame([(k, True) for k, u in rows if "/en/" in u], "page_id long, bad boolean")
+        got = urltree.judged(spark, spark.createDataFrame(rows, "page_id long, url string"), [], labels).collect()
+        assert {(r["path"][:4], r["verdict"]) for r in got} == {("/en/", "block"), ("/de/", "allow"), ("/fr/", "allow")}
+        assert {r["template"] for r in got if r["verdict"] == "block"} == {"/en/*"}
+
+
+def test_urls_long_repeated_and_with_clashing_columns(spark):
+    long = "http://h/" + "a/" * 3000 + "x" * 50_000
+    df = spark.createDataFrame([(1, long, "a", 1), (1, long, "b", 2), (2, None, "c", 3), (2, "http://h/a", None, 4)], "page_id long, url string, host string, n long")
+    got = urltree.judged(spark, df, URL_RULES).collect()
+    assert sorted((r["page_id"], r["host"], r["verdict"]) for r in got) == [(1, "h", "allow"), (1, "h", "allow"), (2, "", "allow"), (2, "h", "allow")]
