@@ -240,7 +240,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
 
 
-def spans(spark: SparkSession, rows: DataFrame, length: int, gram: int, most: int = 4096) -> DataFrame:
+def spans(spark: SparkSession, rows: DataFrame, length: int, gram: int, most: int = 1024) -> DataFrame:
     """(id, h, at, len): runs of strings of ``length`` bytes, by first start and number, that also start elsewhere in ``rows`` (id, h, text as bytes).
 
     ``most``: distinct fragments of an anchor, or of a part of it, that meet in
@@ -326,7 +326,7 @@ def _kept(text: bytes, cuts: list[tuple[int, int]]) -> bytes:
 PASSAGE, PASSAGE_GRAM, PASSAGE_WORDS = 200, 64, 50
 
 
-def digests(spark: SparkSession, docs: DataFrame, length: int = 400, gram: int = 200, most: int = 4096) -> DataFrame:
+def digests(spark: SparkSession, docs: DataFrame, length: int = 400, gram: int = 200, most: int = 1024) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_bytes, chars_left) of every row of ``docs`` (doc_id, text).
 
     n_removed to kept_sha256: the removal of all bytes that a repeated string of
