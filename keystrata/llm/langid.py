@@ -5,6 +5,9 @@ sample of labelled rows. It labels every byte position of a text; a document's
 probabilities are its positions' mean. Texts are cut into stretches of
 ``STRETCH`` bytes that are read side by side, so a batch of any texts is a few
 large matrix products per position, and memory doesn't depend on text length.
+No state goes from one stretch to the next: the network is trained on stretches
+of this length, which are some ten words, and a state carried on would make the
+reading of a long text one step after the other.
 """
 
 from __future__ import annotations
@@ -88,7 +91,8 @@ class Network:
             xs, ds = (x, s) if d == "f" else (x[::-1], s[::-1])
             e, u, c, v = (self.p[k + d] for k in "EUCV")
             h_n = c.shape[0]
-            ge, gu, gc = np.zeros_like(e), np.zeros_like(u), np.zeros_like(c)
+            gu, gc = np.zeros_like(u), np.zeros_like(c)
+            gates = np.empty((*xs.shape, 3 * h_n), e.dtype)
             grad["V" + d] = np.einsum("tlh,tlk->hk", out, ds)
             dh = np.zeros_like(out[0])
             for t in range(len(xs) - 1, -1, -1):
@@ -101,18 +105,28 @@ class Network:
                 dg = np.concatenate((dr, dz), 1)
                 gc += rh.T @ dn
                 gu += h.T @ dg
-                np.add.at(ge, xs[t], np.concatenate((dg, dn), 1))
+                gates[t, :, : 2 * h_n], gates[t, :, 2 * h_n :] = dg, dn
                 dh = dh * z + drh * r + dg @ u.T
-            grad |= {"E" + d: ge, "U" + d: gu, "C" + d: gc}
+            grad |= {"E" + d: _by_byte(xs.ravel(), gates.reshape(-1, 3 * h_n)), "U" + d: gu, "C" + d: gc}
         return grad
 
 
+def _by_byte(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sum of the rows of each byte."""
+    out = np.zeros((256, rows.shape[1]), rows.dtype)
+    by = np.argsort(at, kind="stable")
+    at = at[by]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    out[at[first]] = np.add.reduceat(rows[by], first)
+    return out
+
+
 def softmax(s: np.ndarray) -> np.ndarray:
     s = np.exp(s - s.max(-1, keepdims=True))
     return s / s.sum(-1, keepdims=True)
 
 
-def train(samples: list[tuple[bytes, str]], hidden: int = HIDDEN, epochs: int = 6, lanes: int = 128, rate: float = 0.02, seed: int = 7) -> Network:
+def train(samples: list[tuple[bytes, str]], hidden: int = HIDDEN, epochs: int = 6, lanes: int = 256, rate: float = 0.02, seed: int = 7) -> Network:
     """From (bytes, language) samples, each read up to ``STRETCH`` bytes; Adam, the rate falling to a tenth."""
     langs = sorted({k for _, k in samples})
     rng = np.random.default_rng(seed)
@@ -177,11 +191,11 @@ def sample(docs: DataFrame, per_lang: int = 600, stretches: int = 4) -> list[tup
     room = F.greatest(F.length("text") - STRETCH + 1, F.lit(1))
     at = F.transform(F.sequence(F.lit(0), F.lit(stretches - 1)), lambda i: F.substring("text", (F.pmod(F.hash("h", i), room) + 1).cast("int"), F.lit(STRETCH)))
     rows = docs.where("lang is not null and length(text) > 0").select("lang", "text", F.xxhash64("text").alias("h")).select("lang", "h", at.alias("s"))
-    # By hash about half as many again as are wanted, so that few rows of a language meet in one task.
+    # By hash about half as many again as are wanted, so that few rows of a language meet in one task. A row per language is broadcast: the network has an output for each.
     n = docs.where("lang is not null and length(text) > 0").groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n"))
     place = F.pmod(F.col("h"), F.lit(1 << 30))
     near = place * F.col("n") < F.lit((1.5 * per_lang + 100) * (1 << 30))
-    once = rows.join(n, "lang").where(near).groupBy("lang", "h").agg(F.first("s").alias("s"))
+    once = rows.join(F.broadcast(n), "lang").where(near).groupBy("lang", "h").agg(F.first("s").alias("s"))
     some = once.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(place, "h"))).where(F.col("rank") <= per_lang)
     got = some.select("lang", "h", "s").collect()
     return [(s.encode("utf-8", "surrogatepass")[:STRETCH], r["lang"]) for r in sorted(got, key=lambda r: (r["lang"], r["h"])) for s in r["s"] if s]
@@ -192,7 +206,11 @@ def predicted(spark: SparkSession, docs: DataFrame, learn: DataFrame, per_lang:
 
     The training sample is bounded by ``per_lang`` distinct texts a language; every
     whole text is predicted. ``und`` with score 0 for a null text, one without a
-    letter, or if there was nothing to learn from; empty tables give no rows.
+    letter, or if there was nothing to learn from. Of equal probabilities the
+    language first by name wins; repeated rows get equal answers and are one
+    text in training; a very long text is read whole, some stretches at a time;
+    other columns of ``docs``, of whatever name, are left out; empty tables give
+    no rows.
     """
     samples = sample(learn, per_lang)
     net = train(samples) if samples else None
