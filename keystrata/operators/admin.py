@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.glob import matches, matches_any
+from ..functions.glob import matched, matches
 
 #: Slots that keys are dealt to unless told otherwise.
 SLOTS = 1024
@@ -36,6 +36,16 @@ def rebalanced(census: DataFrame, groups: int) -> DataFrame:
     return census.select("slot", F.ntile(groups).over(W.orderBy("slot")).alias("group"))
 
 
+def selected(keys: DataFrame, db: int) -> DataFrame:
+    """The keys of one database of a key space with a column ``db``."""
+    return keys.where(F.col("db") == db).drop("db")
+
+
+def flushed(keys: DataFrame, db: int | None = None) -> DataFrame:
+    """The key space without one database's keys, or, for None, without any."""
+    return keys.limit(0) if db is None else keys.where(F.col("db") != db)
+
+
 def bigkeys(members: DataFrame, n: int) -> DataFrame:
     """The ``n`` largest keys of (key, bytes) rows."""
     return members.groupBy("key").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("members")).orderBy(F.desc("bytes"), "key").limit(n)
@@ -60,6 +70,6 @@ def allowed(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """
     fits = (F.col("what") == "*") | (F.col("what") == F.concat(F.lit("+"), F.col("command"))) | (F.col("what") == F.concat(F.lit("@"), F.col("category")))
     command = requests.join(rules.where("what is not null"), "user").where(fits).groupBy("request").agg(F.max_by("allow", "pos").alias("may"))
-    key = requests.join(rules.where("key_pattern is not null"), "user").where(matches_any(F.col("key"), F.col("key_pattern"))).select("request").distinct().withColumn("reaches", F.lit(True))
+    key = requests.join(matched(requests, "key", rules.where("key_pattern is not null"), "key_pattern", "user").select("key", "user").distinct(), ["key", "user"]).select("request").distinct().withColumn("reaches", F.lit(True))
     out = requests.join(command, "request", "left").join(key, "request", "left")
     return out.select(*requests.columns, (F.coalesce("may", F.lit(False)) & F.coalesce("reaches", F.lit(False))).alias("allowed"))

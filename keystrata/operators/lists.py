@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.places import numbered
 from ..model import bounds
 
 
@@ -18,8 +19,7 @@ def llen(t: DataFrame) -> DataFrame:
 
 def placed(t: DataFrame) -> DataFrame:
     """``pos``: each element's position; ``length``: its list's."""
-    pos = (F.row_number().over(W.partitionBy("key").orderBy("idx")) - 1).cast("long")
-    return t.withColumn("pos", pos).join(llen(t), "key")
+    return numbered(t, ["idx"])
 
 
 def push(t: DataFrame, new: DataFrame, left: bool, only_present: bool = False) -> DataFrame:
@@ -83,8 +83,8 @@ def lrem(t: DataFrame, value: str, count: int) -> DataFrame:
 def pop(t: DataFrame, n: int, left: bool) -> tuple[DataFrame, DataFrame]:
     """(popped in order, left): ``n`` elements from one end of every list."""
     order = F.asc("idx") if left else F.desc("idx")
-    r = t.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy(order)))
-    return r.where(F.col("nth") <= n), r.where(F.col("nth") > n).drop("nth")
+    popped = t.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy(order))).where(F.col("nth") <= n)
+    return popped, t.join(popped.select("key", "idx"), ["key", "idx"], "left_anti")
 
 
 def rpoplpush(t: DataFrame, moves: DataFrame) -> DataFrame:

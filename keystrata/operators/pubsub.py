@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.glob import matches_any
+from ..functions.glob import matched
 
 
 def receivers(channels: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """(channel, client, pattern): exact names by an equality join, globs against each distinct channel once."""
+    """(channel, client, pattern): exact names by an equality join, distinct globs with distinct channels that begin alike."""
     names = channels.select("channel").distinct()
     exact = names.join(subscriptions.where("not is_glob"), F.col("channel") == F.col("pattern")).select("channel", "client", "pattern")
-    globs = names.join(subscriptions.where("is_glob"), matches_any(F.col("channel"), F.col("pattern"))).select("channel", "client", "pattern")
+    asked = subscriptions.where("is_glob").select("client", "pattern")
+    globs = matched(names, "channel", asked, "pattern").join(asked, "pattern").select("channel", "client", "pattern")
     return exact.union(globs)
 
 

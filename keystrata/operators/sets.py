@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.glob import matches
+from ..functions.places import numbered
 from ..model import without
 
 
@@ -69,22 +70,27 @@ def sscan(s: DataFrame, cursor: int, count: int, pattern: str = "*") -> DataFram
     return s.withColumn("at", at).where(F.col("at") < cursor + count).where(F.col("at") >= cursor).where(matches("member", pattern))
 
 
-def _by_hash(s: DataFrame, seed: int) -> DataFrame:
-    h = F.xxhash64("key", "member", F.lit(seed))
-    return s.withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy(h, "member")))
+def _hash(seed: int) -> Column:
+    return F.xxhash64("key", "member", F.lit(seed))
+
+
+def _some(s: DataFrame, n: int, seed: int) -> DataFrame:
+    """``n`` members of each key in the order of a seeded hash: Spark limits each key before it shuffles."""
+    nth = F.row_number().over(W.partitionBy("key").orderBy(_hash(seed), "member"))
+    return s.withColumn("_r", nth).where(F.col("_r") <= n).drop("_r")
 
 
 def spop(s: DataFrame, n: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(popped, left): ``n`` members of each key in the order of a seeded hash; all, if it has no more."""
-    r = _by_hash(s, seed)
-    return r.where(F.col("_r") <= n).drop("_r"), r.where(F.col("_r") > n).drop("_r")
+    popped = _some(s, n, seed)
+    return popped, without(s, popped, "key", "member")
 
 
 def srandmember(s: DataFrame, n: int, seed: int) -> DataFrame:
     """``n`` >= 0: that many distinct members of each key at most. ``n`` < 0: ``-n`` draws with replacement."""
-    r = _by_hash(s, seed)
     if n >= 0:
-        return r.where(F.col("_r") <= n).drop("_r")
+        return _some(s, n, seed)
     draws = scard(s).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(-n))))
-    draws = draws.withColumn("_r", (F.pmod(F.xxhash64("key", "draw", F.lit(seed)), "card") + 1).cast("int"))
-    return draws.join(r, ["key", "_r"]).select("key", "draw", "member")
+    draws = draws.withColumn("_r", F.pmod(F.xxhash64("key", "draw", F.lit(seed)), "card"))
+    order = numbered(s.withColumn("_h", _hash(seed)), ["_h", "member"], "_r")
+    return draws.join(order, ["key", "_r"]).select("key", "draw", "member")

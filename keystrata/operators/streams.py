@@ -26,6 +26,16 @@ def xadd(x: DataFrame, new: DataFrame, order: str) -> tuple[DataFrame, DataFrame
     return x.unionByName(told.where("_ok").select(*x.columns)), told.where("not _ok").drop("_ok", "_before", "_last")
 
 
+def xadd_auto(x: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """``x`` with entries (key, ms, ...) that get their ``seq``: the clock's ``ms`` unless the stream is further on, then the stream's, and the next number in it; 0-0 is never given."""
+    last = x.groupBy("key").agg(F.max(_id()).alias("_last"))
+    clock = F.max("ms").over(W.partitionBy("key").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    told = new.withColumn("_clock", clock).join(last, "key", "left").withColumn("ms", F.greatest("_clock", F.coalesce("_last.ms", F.lit(0))))
+    nth = F.row_number().over(W.partitionBy("key", "ms").orderBy(order)) - 1
+    first = F.when(F.col("_last.ms") == F.col("ms"), F.col("_last.seq") + 1).when(F.col("ms") == 0, 1).otherwise(0)
+    return x.unionByName(told.withColumn("seq", (first + nth).cast("long")).select(*x.columns))
+
+
 def xlen(x: DataFrame) -> DataFrame:
     return x.groupBy("key").agg(F.count(F.lit(1)).alias("length"))
 

@@ -30,14 +30,34 @@ def state(log: DataFrame) -> DataFrame:
     return out.where("value is not null")
 
 
+#: Sequence numbers of one range, whose writes to a key one task counts.
+RANGE = 1 << 16
+
+
 def conflicts(watches: DataFrame, writes: DataFrame) -> DataFrame:
     """Transactions to be refused: a watched key was written by another between watch and exec.
 
     ``watches``: (txn, key, watch_seq, exec_seq); ``writes``: (seq, txn, key).
+    All writes to the key in between are counted by running sums over ranges of
+    the log, and the transaction's own ones taken off, so no watch meets the
+    writes of its key one by one.
     """
-    w = writes.select(F.col("txn").alias("by"), "seq", "key")
-    hit = watches.join(w, "key").where("by <> txn and seq > watch_seq and seq < exec_seq")
-    return hit.select("txn").distinct()
+    ids = ["txn", "key", "watch_seq", "exec_seq"]
+    w = watches.select(*ids).where("exec_seq > watch_seq").distinct()
+    # At one place of the log: ends come before writes, and starts behind them.
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in w.dtypes if c != "key"]
+    marks = writes.select("key", "seq", F.lit(1).alias("o"), F.lit(1).alias("n"), *nothing)
+    for at, o in (("exec_seq", 0), ("watch_seq", 2)):
+        marks = marks.unionByName(w.select("key", F.col(at).alias("seq"), F.lit(o).alias("o"), F.lit(0).alias("n"), "txn", "watch_seq", "exec_seq"))
+    marks = marks.withColumn("part", F.floor(F.col("seq") / RANGE))
+    parts = marks.groupBy("key", "part").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("key").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("n").over(W.partitionBy("key", "part").orderBy("seq", "o").rangeBetween(W.unboundedPreceding, W.currentRow))
+    upto = marks.withColumn("upto", inside).where("n = 0").join(parts.select("key", "part", before.alias("before")), ["key", "part"])
+    sign = F.when(F.col("o") == 0, 1).otherwise(-1)
+    every = upto.groupBy(*ids).agg(F.sum(sign * (F.col("before") + F.col("upto"))).alias("every"))
+    own = w.join(writes.select("txn", "key", "seq"), ["txn", "key"]).where("seq > watch_seq and seq < exec_seq").groupBy(*ids).agg(F.count(F.lit(1)).alias("own"))
+    return every.join(own, ids, "left").where(F.col("every") > F.coalesce("own", F.lit(0))).select("txn").distinct()
 
 
 def committed(log: DataFrame, refused: DataFrame, discarded: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.glob import matches
+from ..functions.places import numbered
 from ..model import bounds, upsert, without
 
 
@@ -20,7 +21,14 @@ def _order(desc: bool) -> list[Column]:
 
 def ranked(z: DataFrame, desc: bool = False) -> DataFrame:
     """``rank``: each member's place, from 0."""
-    return z.withColumn("rank", (F.row_number().over(W.partitionBy("key").orderBy(*_order(desc))) - 1).cast("long"))
+    every = numbered(z, ["score", "member"], "rank")
+    return every.withColumn("rank", F.col("length") - 1 - F.col("rank") if desc else F.col("rank")).drop("length")
+
+
+def _first(z: DataFrame, n: int, desc: bool) -> DataFrame:
+    """The first ``n`` of every key with their ``rank``: Spark limits each key before it shuffles."""
+    nth = F.row_number().over(W.partitionBy("key").orderBy(*_order(desc)))
+    return z.withColumn("_nth", nth).where(F.col("_nth") <= n).withColumn("rank", (F.col("_nth") - 1).cast("long")).drop("_nth")
 
 
 def zadd(z: DataFrame, new: DataFrame) -> DataFrame:
@@ -55,15 +63,9 @@ def zscore(z: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def zrank(z: DataFrame, asked: DataFrame, desc: bool = False) -> DataFrame:
-    """The rank of each asked (key, member): how many members of its key come before it.
-
-    Members asked for meet only the others of their key, in a join that Spark
-    can split; no key is sorted as a whole.
-    """
-    own = zscore(z, asked.select("key", "member").distinct()).where("score is not null").withColumnsRenamed({"member": "m", "score": "s"})
-    before = (F.col("score") > F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("member") > F.col("m"))) if desc else (F.col("score") < F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("member") < F.col("m")))
-    count = own.join(z, "key").groupBy("key", "m").agg(F.count_if(before).alias("rank")).withColumnRenamed("m", "member")
-    return asked.join(count, ["key", "member"], "left")
+    """The rank of each asked (key, member): how many members of its key come before it; null for one that isn't there."""
+    some = z.join(asked.select("key").distinct(), "key", "left_semi")
+    return asked.join(ranked(some, desc).select("key", "member", "rank"), ["key", "member"], "left")
 
 
 def zrange(z: DataFrame, asked: DataFrame, desc: bool = False) -> DataFrame:
@@ -75,8 +77,8 @@ def zrange(z: DataFrame, asked: DataFrame, desc: bool = False) -> DataFrame:
 
 
 def top(z: DataFrame, n: int, desc: bool = True) -> DataFrame:
-    """The first ``n`` of every key; Spark limits each key before it shuffles."""
-    return ranked(z, desc).where(F.col("rank") < n)
+    """The first ``n`` of every key."""
+    return _first(z, n, desc)
 
 
 def in_scores(low: float | Column | None = None, high: float | Column | None = None, open_low: bool = False, open_high: bool = False) -> Column:
@@ -101,11 +103,9 @@ def in_members(low: str | None = None, high: str | None = None, open_low: bool =
 
 def zrangeby(z: DataFrame, ok: Column, offset: int = 0, count: int | None = None, desc: bool = False) -> DataFrame:
     """Members in a range of scores or of bytes, per key in order, ``count`` of them from ``offset``; by bytes all scores are equal."""
-    out = ranked(z.where(ok), desc)
+    out = _first(z.where(ok), offset + count, desc) if count is not None and count >= 0 else ranked(z.where(ok), desc)
     if offset:
         out = out.where(F.col("rank") >= offset)
-    if count is not None and count >= 0:
-        out = out.where(F.col("rank") < offset + count)
     return out.withColumn("rank", F.col("rank") - offset)
 
 
@@ -124,8 +124,8 @@ def zremrangeby(z: DataFrame, ok: Column) -> DataFrame:
 
 def zpop(z: DataFrame, n: int, desc: bool) -> tuple[DataFrame, DataFrame]:
     """(popped, left): the ``n`` highest or lowest members of every key, and the others."""
-    by_rank = ranked(z, desc)
-    return by_rank.where(F.col("rank") < n), by_rank.where(F.col("rank") >= n).select("key", "member", "score")
+    popped = _first(z, n, desc)
+    return popped, without(z.select("key", "member", "score"), popped, "key", "member")
 
 
 _FOLDS = {"sum": F.sum, "min": F.min, "max": F.max}

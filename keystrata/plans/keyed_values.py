@@ -41,6 +41,15 @@ def _wanted(c, m=3):
     return c.where(number % m == 0).select("key").union(c.select(F.lit("n:none").alias("key")).distinct())
 
 
+def _every(t):
+    """Every key, and one that isn't there."""
+    return t.select("key").union(t.select(F.lit("none").alias("key")).distinct())
+
+
+_EVERY_C = "w AS (SELECT key FROM c UNION ALL SELECT 'none')"
+_EVERY_K = "a AS (SELECT key FROM ks UNION ALL SELECT 'none')"
+
+
 def _new(c):
     """Values by key, two for every sixth key."""
     w = _wanted(c)
@@ -145,13 +154,13 @@ def _rpoplpush(spark, d):
     return L.rpoplpush(l, moves)
 
 
-def _blpop(spark, d):
+def _blpop(spark, d, left=True):
     asked = spark.createDataFrame([("r1", 0, "none"), ("r1", 1, "3"), ("r1", 2, "1"), ("r2", 0, "2")], "request string, nth int, key string")
-    return L.pop_first(A.lists(spark, d), asked, True)
+    return L.pop_first(A.lists(spark, d), asked, left)
 
 
 QUERIES = {
-    "get": (_c(lambda c: S.get(c, _wanted(c), NOW)), sql("c", f", {_W} SELECT w.key, o.value FROM w LEFT JOIN (SELECT * FROM c WHERE {_LIVE}) o ON o.key = w.key")),
+    "get": (_c(lambda c: S.get(c, _every(c), NOW)), sql("c", f", {_EVERY_C} SELECT w.key, o.value FROM w LEFT JOIN (SELECT * FROM c WHERE {_LIVE}) o ON o.key = w.key")),
     "mget_positional": (lambda spark, d: S.get(A.strings(spark, d), spark.createDataFrame([(0, "doc:3"), (1, "doc:none"), (2, "doc:1"), (3, "doc:3")], "pos int, key string"), NOW), sql("k", ", a(pos, key) AS (VALUES (0,'doc:3'),(1,'doc:none'),(2,'doc:1'),(3,'doc:3')) SELECT a.pos, a.key, k.value FROM a LEFT JOIN k ON a.key = k.key")),
     "set": _put("set", "true"),
     "set_nx": _put("set_nx", "o.key IS NULL", "absent"),
@@ -178,9 +187,9 @@ QUERIES = {
     "decr": _incr(-1, "(-1)"),
     "decrby": _incr(-17, "(-17)"),
     "incrbyfloat": (_c(lambda c: S.incrbyfloat(c, _wanted(c).select("key", F.lit(0.5).alias("by")), NOW)), sql("c", f", {_W}, a AS (SELECT w.key, CAST(coalesce(CAST(value AS BIGINT), 0) AS VARCHAR) || '.5' AS value, etime_ms FROM w LEFT JOIN (SELECT * FROM c WHERE {_LIVE}) o ON o.key = w.key) SELECT * FROM a UNION ALL SELECT * FROM c WHERE key NOT IN (SELECT key FROM a)")),
-    "exists_multi": (_k(lambda k: K.exists(k, _asked_keys(k), NOW).agg(F.count(F.lit(1)).alias("n"))), sql("ks", f", {_AK} SELECT count(*) AS n FROM a WHERE key IN (SELECT key FROM ks WHERE {_LIVE})")),
+    "exists_multi": (_k(lambda k: K.exists(k, _every(k), NOW).agg(F.count(F.lit(1)).alias("n"))), sql("ks", f", {_EVERY_K} SELECT count(*) AS n FROM a WHERE key IN (SELECT key FROM ks WHERE {_LIVE})")),
     "del": (_k(lambda k: K.delete(k, _asked_keys(k))), sql("ks", f", {_AK} SELECT * FROM ks WHERE key NOT IN (SELECT key FROM a)")),
-    "type": (_k(lambda k: K.types(k, _asked_keys(k), NOW)), sql("ks", f", {_AK} SELECT a.key, coalesce(o.type, 'none') AS type FROM a LEFT JOIN (SELECT * FROM ks WHERE {_LIVE}) o ON o.key = a.key")),
+    "type": (_k(lambda k: K.types(k, _every(k), NOW)), sql("ks", f", {_EVERY_K} SELECT a.key, coalesce(o.type, 'none') AS type FROM a LEFT JOIN (SELECT * FROM ks WHERE {_LIVE}) o ON o.key = a.key")),
     "keys_glob": (_k(lambda k: K.like(k, "k:1[0-4]?*", NOW, "hash").select("key")), sql("ks", f"SELECT key FROM ks WHERE {_LIVE} AND type = 'hash' AND key GLOB 'k:1[0-4]?*'")),
     "scan_page": (_k(lambda k: K.scan(k, 5, 50, NOW, "k:*").select("key", "type")), sql("ks", f"SELECT key, type FROM ks WHERE {_LIVE} AND key LIKE 'k:%' ORDER BY list_position(['string','hash','set','list','zset','stream'], type), key LIMIT 50 OFFSET 5")),
     "scanx": (_k(lambda k: K.key_range(k, "zset", NOW, start="k:3", limit=20)), sql("ks", f"SELECT key, rn = 21 AS is_next FROM (SELECT key, row_number() OVER (ORDER BY key) AS rn FROM ks WHERE {_LIVE} AND type = 'zset' AND key >= 'k:3') WHERE rn <= 21")),
@@ -190,8 +199,8 @@ QUERIES = {
     "pexpire": _expire(lambda k: K.expire_in(k, _asked_keys(k).withColumn("ttl", F.lit(-5)), NOW, 1), NOW - 5),
     "expireat": _expire(lambda k: K.expire_at(k, _asked_keys(k).withColumn("at_ms", F.lit(1_800_000_000_000)), NOW), 1_800_000_000_000),
     "pexpireat": _expire(lambda k: K.expire_at(k, _asked_keys(k).withColumn("at_ms", F.lit(1_800_000_000_123)), NOW), 1_800_000_000_123),
-    "ttl": (_k(lambda k: K.ttl(k, _asked_keys(k), NOW)), sql("ks", f", {_AK} SELECT a.key, CAST(CASE WHEN o.key IS NULL OR NOT {_LIVE} THEN -2 WHEN etime_ms IS NULL THEN -1 ELSE (etime_ms - {NOW}) // 1000 END AS BIGINT) AS ttl FROM a LEFT JOIN (SELECT * FROM ks WHERE type <> 'stream') o ON o.key = a.key")),
-    "pttl": (_k(lambda k: K.ttl(k, _asked_keys(k), NOW, 1)), sql("ks", f", {_AK} SELECT a.key, CAST(CASE WHEN o.key IS NULL OR NOT {_LIVE} THEN -2 WHEN etime_ms IS NULL THEN -1 ELSE etime_ms - {NOW} END AS BIGINT) AS ttl FROM a LEFT JOIN (SELECT * FROM ks WHERE type <> 'stream') o ON o.key = a.key")),
+    "ttl": (_k(lambda k: K.ttl(k, _every(k), NOW)), sql("ks", f", {_EVERY_K} SELECT a.key, CAST(CASE WHEN o.key IS NULL OR NOT {_LIVE} THEN -2 WHEN etime_ms IS NULL THEN -1 ELSE (etime_ms - {NOW}) // 1000 END AS BIGINT) AS ttl FROM a LEFT JOIN (SELECT * FROM ks WHERE type <> 'stream') o ON o.key = a.key")),
+    "pttl": (_k(lambda k: K.ttl(k, _every(k), NOW, 1)), sql("ks", f", {_EVERY_K} SELECT a.key, CAST(CASE WHEN o.key IS NULL OR NOT {_LIVE} THEN -2 WHEN etime_ms IS NULL THEN -1 ELSE etime_ms - {NOW} END AS BIGINT) AS ttl FROM a LEFT JOIN (SELECT * FROM ks WHERE type <> 'stream') o ON o.key = a.key")),
     "persist": (_k(lambda k: K.persist(k, _asked_keys(k), NOW)[1]), sql("ks", f", {_AK} SELECT key, type, CASE WHEN {_LIVE} AND key IN (SELECT key FROM a) THEN NULL ELSE etime_ms END AS etime_ms FROM ks")),
     "pkpatternmatchdel": (_k(lambda k: K.delete_like(k, "k:2*", 15, NOW)[1]), sql("ks", f"SELECT * FROM ks WHERE key NOT IN (SELECT key FROM ks WHERE {_LIVE} AND key LIKE 'k:2%' ORDER BY key LIMIT 15)")),
     "live_census": (_k(lambda k: K.census(k, NOW)), sql("ks", f"SELECT type, count(*) FILTER (WHERE {_LIVE}) AS n_keys, count(*) FILTER (WHERE {_LIVE} AND etime_ms IS NOT NULL) AS n_expires, CAST(coalesce(floor(avg(etime_ms - {NOW}) FILTER (WHERE etime_ms >= {NOW})), 0) AS BIGINT) AS avg_ttl_ms, count(*) FILTER (WHERE NOT {_LIVE}) AS n_stale FROM ks GROUP BY type")),
@@ -232,5 +241,6 @@ QUERIES = {
     "lpop_n": (_l(lambda l: L.pop(l, 3, True)[0].select("key", "nth", "value")), sql("l", f", {_P} SELECT key, pos + 1 AS nth, value FROM p WHERE pos < 3")),
     "rpop_n": (_l(lambda l: L.pop(l, 3, False)[0].select("key", "nth", "value")), sql("l", f", {_P} SELECT key, n - pos AS nth, value FROM p WHERE pos >= n - 3")),
     "rpoplpush": (_rpoplpush, sql("l", f", {_P}, m(src, dst) AS (VALUES ('1','2'),('3','3')), t AS (SELECT m.dst, p.value FROM p JOIN m ON p.key = m.src WHERE pos = n - 1), r AS (SELECT key, idx, value FROM p WHERE NOT (pos = n - 1 AND key IN (SELECT src FROM m))) SELECT * FROM r UNION ALL SELECT dst, coalesce((SELECT min(idx) FROM r WHERE r.key = dst), 1) - 1, value FROM t")),
+    "brpop_batch": (lambda spark, d: _blpop(spark, d, False), sql("l", "SELECT 'r1' AS request, key, value FROM l WHERE key = '3' AND idx = (SELECT max(idx) FROM l WHERE key = '3') UNION ALL SELECT 'r2', key, value FROM l WHERE key = '2' AND idx = (SELECT max(idx) FROM l WHERE key = '2')")),
     "blpop_batch": (_blpop, sql("l", "SELECT 'r1' AS request, key, value FROM l WHERE key = '3' AND idx = 0 UNION ALL SELECT 'r2', key, value FROM l WHERE key = '2' AND idx = 0")),
 }

@@ -89,10 +89,10 @@ _HITS = f"hits AS (SELECT request, member, {_hav('clon', 'clat', 'lon', 'lat')}
 
 
 def _subs(spark):
-    return spark.createDataFrame([("a", "view", False), ("a", "v*", True), ("b", "click", False), ("c", "*", True), ("d", "p?rch*", True), ("d", "view", False)], "client string, pattern string, is_glob boolean")
+    return spark.createDataFrame([("a", "view", False), ("a", "v*", True), ("b", "click", False), ("c", "*", True), ("d", "p?rch*", True), ("d", "view", False), ("e", "[a-e]l*", True), ("e", "[^a-e]*", True), ("f", r"vi\ew*", True), ("f", r"\*", True)], "client string, pattern string, is_glob boolean")
 
 
-_SUBS = "u(client, pattern, is_glob) AS (VALUES ('a','view',false),('a','v*',true),('b','click',false),('c','*',true),('d','p?rch*',true),('d','view',false)), m AS (SELECT event_id AS seq, event_type AS channel, CAST(user_id AS VARCHAR) AS msg FROM events)"
+_SUBS = "u(client, pattern, is_glob, rx) AS (VALUES ('a','view',false,NULL),('a','v*',true,'v.*'),('b','click',false,NULL),('c','*',true,'.*'),('d','p?rch*',true,'p.rch.*'),('d','view',false,NULL),('e','[a-e]l*',true,'[a-e]l.*'),('e','[^a-e]*',true,'[^a-e].*'),('f','vi\\ew*',true,'view.*'),('f','\\*',true,'[*]')), m AS (SELECT event_id AS seq, event_type AS channel, CAST(user_id AS VARCHAR) AS msg FROM events)"
 
 
 def _watches(spark, d):
@@ -115,6 +115,36 @@ def _acl(spark, d):
     return M.allowed(requests, rules).select("request", "allowed")
 
 
+# crc32 bit by bit; keys are ASCII here. None of these keys has a tag in braces, the tags of others do.
+_STEPS = "list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, {})"
+_CRC = f"xor(list_reduce([CAST(unicode(x) AS BIGINT) for x in string_split(tag, '')], lambda c, b: {_STEPS.format('xor(c, b)')}, 4294967295::BIGINT), 4294967295::BIGINT)"
+_SLOTS = f"t AS (SELECT *, CASE WHEN regexp_matches(key, '^[^{{]*[{{][^}}]*[}}]') THEN regexp_extract(key, '^[^{{]*[{{]([^}}]*)[}}]', 1) ELSE key END AS tag FROM ks2), s AS (SELECT key, type, etime_ms, CAST({_CRC} % 1024 AS INT) AS slot FROM t)"
+_KS2 = "ks2 AS (SELECT CASE WHEN CAST(substr(key, 3) AS BIGINT) % 7 = 0 THEN 'u{' || (CAST(substr(key, 3) AS BIGINT) % 50) || '}' || key ELSE key END AS key, type, etime_ms FROM ks)"
+
+
+def _tagged(spark, d):
+    """The key space with a tag in every seventh key."""
+    number = F.substring("key", 3, 20).cast("long")
+    return A.keyspace(spark, d).withColumn("key", F.when(number % 7 == 0, F.concat(F.lit("u{"), number % 50, F.lit("}"), "key")).otherwise(F.col("key")))
+
+
+def _dbs(spark, d):
+    return A.keyspace(spark, d).withColumn("db", F.substring("key", 3, 20).cast("long") % 3)
+
+
+def _xauto(spark, d):
+    """Entries without a sequence number go behind a stream that has some, in the order they came."""
+    x = A.streams(spark, d).select("key", "ms", "seq", "event_id")
+    old = x.where("event_id % 2 = 0")
+    return X.xadd_auto(old, x.where("event_id % 2 = 1").drop("seq"), "event_id").select("key", "ms", "seq", "event_id")
+
+
+_XAUTO = """
+, p AS (SELECT key, ms, seq, event_id FROM x WHERE event_id % 2 = 0), m AS (SELECT key, max({'ms': ms, 'seq': seq}) AS l FROM p GROUP BY key),
+n AS (SELECT x.key, event_id, greatest(max(ms) OVER (PARTITION BY x.key ORDER BY event_id), coalesce(l.ms, 0)) AS ms, l FROM x LEFT JOIN m ON m.key = x.key WHERE event_id % 2 = 1)
+SELECT * FROM p UNION ALL SELECT key, ms, row_number() OVER (PARTITION BY key, ms ORDER BY event_id) - 1 + CASE WHEN l.ms = ms THEN l.seq + 1 ELSE 0 END, event_id FROM n"""
+
+
 QUERIES = {
     "setbit": (_b(lambda b: B.setbit(b, b.where("off < 50").select("key", "off", F.lit(0).alias("bit"), F.lit(0).alias("pos")).union(b.select("key", F.lit(7777).cast("long"), F.lit(1), F.lit(0)).distinct()))), sql("b", "SELECT * FROM b WHERE off >= 50 UNION SELECT key, 7777 FROM b")),
     "getbit": (_b(lambda b: B.getbit(b, b.select("key", F.lit(3).cast("long").alias("off")).distinct().union(b.select("key", F.lit(99999).cast("long")).distinct()))), sql("b", "SELECT k.key, o.off, CAST(EXISTS (SELECT 1 FROM b WHERE b.key = k.key AND b.off = o.off) AS INT) AS bit FROM (SELECT DISTINCT key FROM b) k, (VALUES (3::BIGINT), (99999::BIGINT)) o(off)")),
@@ -137,7 +167,7 @@ QUERIES = {
     "georadius_count_desc": (_g(lambda spark, g: G.georadius(g, _centres(spark), "km", 5, True).select("request", "nth", "member", "distance")), sql("g0", f", {_CELL}, {_CSQL}, {_HITS} SELECT * FROM (SELECT request, row_number() OVER (PARTITION BY request ORDER BY d DESC, member) AS nth, member, round(d / 1000, 4) AS distance FROM hits WHERE d <= radius * 1000) WHERE nth <= 5")),
     "georadius_store": (_g(lambda spark, g: G.georadius(g, _centres(spark), "km").select(F.col("request").alias("key"), "member", "score")), sql("g0", f", {_CELL}, {_CSQL}, {_HITS} SELECT request AS key, hits.member, CAST({_BITS} AS BIGINT) AS score FROM hits JOIN g ON g.member = hits.member WHERE d <= radius * 1000")),
     "georadiusbymember": (_g(lambda spark, g: G.georadiusbymember(g, spark.createDataFrame([("q", "cities", "Customer#000000002", 4000.0)], "request string, key string, member string, radius double"), "km").select("request", "nth", "member", "distance")), sql("g0", f", {_CELL}, r AS (SELECT 'q' AS request, key, lon AS clon, lat AS clat, 4000.0 AS radius FROM g WHERE member = 'Customer#000000002'), {_HITS} SELECT request, row_number() OVER (PARTITION BY request ORDER BY d, member) AS nth, member, round(d / 1000, 4) AS distance FROM hits WHERE d <= radius * 1000")),
-    "xadd_autoid": (lambda spark, d: A.streams(spark, d), sql("x", "SELECT * FROM x")),
+    "xadd_autoid": (_xauto, sql("x", _XAUTO)),
     "xadd_monotone": (_x(lambda x: X.xadd(x.limit(0), x, "event_id")[0].select("key", "ms", "seq", "event_id")), sql("x", "SELECT key, ms, seq, event_id FROM (SELECT *, max({'ms': ms, 'seq': seq}) OVER (PARTITION BY key ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM x) WHERE b IS NULL OR {'ms': ms, 'seq': seq} > b")),
     "xlen": (_x(X.xlen), sql("x", "SELECT key, count(*) AS length FROM x GROUP BY key")),
     "xrange": (_x(lambda x: X.xrange(x, X.in_ids((1704240000000, 0), (1704412800000, 0), open_high=True)).select("key", "nth", "ms", "seq")), sql("x", "SELECT key, row_number() OVER (PARTITION BY key ORDER BY ms, seq) AS nth, ms, seq FROM x WHERE ms >= 1704240000000 AND ms < 1704412800000")),
@@ -147,12 +177,12 @@ QUERIES = {
     "xtrim_minid": (_x(lambda x: X.xtrim_id(x, (1705276800000, 0)).select("key", "ms", "seq")), sql("x", "SELECT key, ms, seq FROM x WHERE ms >= 1705276800000")),
     "xdel": (_x(lambda x: X.xdel(x, x.where("user_id % 2 = 0")).select("key", "ms", "seq")), sql("x", "SELECT key, ms, seq FROM x WHERE user_id % 2 <> 0")),
     "xinfo": (_x(X.xinfo), sql("x", "SELECT key, count(*) AS length, min({'ms': ms, 'seq': seq}).ms || '-' || min({'ms': ms, 'seq': seq}).seq AS first_id, max({'ms': ms, 'seq': seq}).ms || '-' || max({'ms': ms, 'seq': seq}).seq AS last_id FROM x GROUP BY key")),
-    "publish_fanout": (lambda spark, d: P.publish(A.messages(spark, d), _subs(spark)), f"WITH {_SUBS} SELECT m.channel, m.seq, m.msg, (SELECT count(*) FROM u WHERE CASE WHEN is_glob THEN m.channel GLOB pattern ELSE m.channel = pattern END) AS receivers FROM m"),
-    "psubscribe_glob": (lambda spark, d: P.delivered(A.messages(spark, d), _subs(spark).where("is_glob")), f"WITH {_SUBS} SELECT m.channel, m.seq, m.msg, u.client, u.pattern FROM m JOIN u ON is_glob AND m.channel GLOB pattern"),
+    "publish_fanout": (lambda spark, d: P.publish(A.messages(spark, d), _subs(spark)), f"WITH {_SUBS} SELECT m.channel, m.seq, m.msg, (SELECT count(*) FROM u WHERE CASE WHEN is_glob THEN regexp_full_match(m.channel, rx) ELSE m.channel = pattern END) AS receivers FROM m"),
+    "psubscribe_glob": (lambda spark, d: P.delivered(A.messages(spark, d), _subs(spark).where("is_glob")), f"WITH {_SUBS} SELECT m.channel, m.seq, m.msg, u.client, u.pattern FROM m JOIN u ON is_glob AND regexp_full_match(m.channel, rx)"),
     "subscribe_exact": (lambda spark, d: P.delivered(A.messages(spark, d), _subs(spark).where("not is_glob")), f"WITH {_SUBS} SELECT m.channel, m.seq, m.msg, u.client, u.pattern FROM m JOIN u ON NOT is_glob AND m.channel = pattern"),
-    "unsubscribe": (lambda spark, d: P.unsubscribe(_subs(spark), spark.createDataFrame([("a", None, True), ("d", "view", False)], "client string, pattern string, is_glob boolean")), "SELECT * FROM (VALUES ('a','view',false),('b','click',false),('c','*',true),('d','p?rch*',true)) t(client, pattern, is_glob)"),
+    "unsubscribe": (lambda spark, d: P.unsubscribe(_subs(spark), spark.createDataFrame([("a", None, True), ("d", "view", False)], "client string, pattern string, is_glob boolean")), "SELECT * FROM (VALUES ('a','view',false),('b','click',false),('c','*',true),('d','p?rch*',true),('e','[a-e]l*',true),('e','[^a-e]*',true),('f','vi\\ew*',true),('f','\\*',true)) t(client, pattern, is_glob)"),
     "pubsub_numsub": (lambda spark, d: P.numsub(_subs(spark)), "SELECT * FROM (VALUES ('view', 2::BIGINT), ('click', 1::BIGINT)) t(channel, clients)"),
-    "pubsub_numpat": (lambda spark, d: P.numpat(_subs(spark)), "SELECT 3::BIGINT AS patterns"),
+    "pubsub_numpat": (lambda spark, d: P.numpat(_subs(spark)), "SELECT 7::BIGINT AS patterns"),
     "oplog_running": (lambda spark, d: T.folded(A.oplog(spark, d)).select("seq", "key", F.col("value").cast("long").alias("value")), sql("o", ", p AS (SELECT *, sum(CASE WHEN op IN ('SET','DEL') THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq) AS part FROM o) SELECT seq, key, CAST(sum(CASE WHEN op <> 'DEL' THEN arg END) OVER (PARTITION BY key, part ORDER BY seq) AS BIGINT) AS value FROM p")),
     "exec_fold": (lambda spark, d: T.state(A.oplog(spark, d)), sql("o", f", l2 AS (SELECT * FROM o), {_FOLD} SELECT key, CAST(value AS BIGINT) AS value FROM st WHERE value IS NOT NULL")),
     "watch_conflict": (_refused, sql("o", f", {_REFUSED} SELECT txn FROM refused")),
@@ -161,12 +191,14 @@ QUERIES = {
     "slowlog_topn": (lambda spark, d: M.slowlog(A.read(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("value") * 100).cast("long").alias("duration_us")), 20, 1000), "SELECT event_id AS id, CAST(trunc(value * 100) AS BIGINT) AS duration_us FROM events WHERE CAST(trunc(value * 100) AS BIGINT) >= 1000 ORDER BY event_id DESC LIMIT 20"),
     "acl_dryrun": (_acl, "SELECT event_id AS request, CASE WHEN user_id % 3 = 0 THEN event_id % 2 = 0 WHEN user_id % 3 = 1 THEN true ELSE false END AS allowed FROM events"),
     "bigkeys_topn": (lambda spark, d: M.bigkeys(A.hashes(spark, d).select("key", (F.octet_length("field") + F.octet_length("value")).cast("long").alias("bytes")), 10), sql("h", "SELECT key, CAST(sum(octet_length(encode(field)) + octet_length(encode(value))) AS BIGINT) AS bytes, count(*) AS members FROM h GROUP BY key ORDER BY bytes DESC, key LIMIT 10")),
-    "slots_census": (lambda spark, d: M.slot_census(A.keyspace(spark, d)), None),
-    "slots_cleanup": (lambda spark, d: M.slot_cleaned(A.keyspace(spark, d), [0, 1, 2, 3]), None),
-    "slots_scan": (lambda spark, d: M.slot_members(A.keyspace(spark, d), list(range(16))), None),
-    "slots_rebalance": (lambda spark, d: M.rebalanced(M.slot_census(A.keyspace(spark, d)), 3).groupBy("group").agg(F.count(F.lit(1)).alias("slots")), None),
-    "select_db": (lambda spark, d: A.keyspace(spark, d).withColumn("db", F.substring("key", 3, 20).cast("long") % 3).where("db = 1").select("key", "type"), sql("ks", "SELECT key, type FROM ks WHERE CAST(substr(key, 3) AS BIGINT) % 3 = 1")),
-    "flushdb": (lambda spark, d: A.keyspace(spark, d).withColumn("db", F.substring("key", 3, 20).cast("long") % 3).where("db <> 1").groupBy("db").agg(F.count(F.lit(1)).alias("n")), sql("ks", "SELECT CAST(substr(key, 3) AS BIGINT) % 3 AS db, count(*) AS n FROM ks WHERE CAST(substr(key, 3) AS BIGINT) % 3 <> 1 GROUP BY 1")),
+    "slots_census": (lambda spark, d: M.slot_census(_tagged(spark, d)), sql("ks", f", {_KS2}, {_SLOTS} SELECT slot, count(*) AS n_keys FROM s GROUP BY slot")),
+    "slots_hashkey": (lambda spark, d: _tagged(spark, d).select("key", M.slot(F.col("key")).alias("slot")), sql("ks", f", {_KS2}, {_SLOTS} SELECT key, slot FROM s")),
+    "slots_cleanup": (lambda spark, d: M.slot_cleaned(_tagged(spark, d), [0, 1, 2, 3]), sql("ks", f", {_KS2}, {_SLOTS} SELECT key, type, etime_ms FROM s WHERE slot NOT IN (0, 1, 2, 3)")),
+    "slots_scan": (lambda spark, d: M.slot_members(_tagged(spark, d), list(range(16))), sql("ks", f", {_KS2}, {_SLOTS} SELECT key, type, etime_ms FROM s WHERE slot < 16")),
+    "slots_rebalance": (lambda spark, d: M.rebalanced(M.slot_census(_tagged(spark, d)), 3).select("slot", "group"), sql("ks", f', {_KS2}, {_SLOTS} SELECT slot, CAST(ntile(3) OVER (ORDER BY slot) AS INT) AS "group" FROM (SELECT DISTINCT slot FROM s)')),
+    "select_db": (lambda spark, d: M.selected(_dbs(spark, d), 1).select("key", "type"), sql("ks", "SELECT key, type FROM ks WHERE CAST(substr(key, 3) AS BIGINT) % 3 = 1")),
+    "flushdb": (lambda spark, d: M.flushed(_dbs(spark, d), 1).groupBy("db").agg(F.count(F.lit(1)).alias("n")), sql("ks", "SELECT CAST(substr(key, 3) AS BIGINT) % 3 AS db, count(*) AS n FROM ks WHERE CAST(substr(key, 3) AS BIGINT) % 3 <> 1 GROUP BY 1")),
+    "flushall": (lambda spark, d: M.flushed(_dbs(spark, d)).agg(F.count(F.lit(1)).alias("n")), "SELECT 0::BIGINT AS n"),
     "command_registry": (lambda spark, d: registry(spark).groupBy("status").agg(F.count(F.lit(1)).alias("commands")), None),
     "echo": (lambda spark, d: spark.range(1).select(F.lit("hello").alias("msg")), "SELECT 'hello' AS msg"),
 }

@@ -25,6 +25,12 @@ def _asked(z):
     return z.select("key", "member").where(F.col("member").cast("long") % 7 == 3).union(z.select("key", F.lit("nobody").alias("member")).distinct())
 
 
+def _every(z):
+    """Every member, and one that no key has."""
+    return z.select("key", "member").union(z.select("key", F.lit("nobody").alias("member")).distinct())
+
+
+_EVERY = "asked AS (SELECT key, member FROM z UNION ALL SELECT DISTINCT key, 'nobody' FROM z)"
 _ASKED = "asked AS (SELECT key, member FROM z WHERE CAST(member AS BIGINT) % 7 = 3 UNION ALL SELECT DISTINCT key, 'nobody' FROM z)"
 
 
@@ -66,9 +72,9 @@ QUERIES = {
     "zadd_replies": (_z(lambda z: Z.zadd_count(z, _new(z))), sql("z", f", {_NEW} SELECT key, count(*) FILTER (WHERE member = 'fresh') AS added FROM new GROUP BY key")),
     "zincrby": (_z(lambda z: Z.zincrby(z, _asked(z).withColumn("by", F.lit(1.5)))), sql("z", f", {_ASKED} SELECT coalesce(z.key, a.key) AS key, coalesce(z.member, a.member) AS member, coalesce(score, 0) + CASE WHEN a.key IS NULL THEN 0 ELSE 1.5 END AS score FROM z FULL JOIN asked a ON z.key = a.key AND z.member = a.member")),
     "zcard": (_z(Z.zcard), sql("z", "SELECT key, count(*) AS card FROM z GROUP BY key")),
-    "zscore": (_z(lambda z: Z.zscore(z, _asked(z))), sql("z", f", {_ASKED} SELECT a.key, a.member, z.score FROM asked a LEFT JOIN z ON a.key = z.key AND a.member = z.member")),
-    "zrank": (_z(lambda z: Z.zrank(z, _asked(z))), sql("z", f", {_ASKED} SELECT a.key, a.member, r AS rank FROM asked a LEFT JOIN ({_RANK}) q ON a.key = q.key AND a.member = q.member")),
-    "zrevrank": (_z(lambda z: Z.zrank(z, _asked(z), True)), sql("z", f", {_ASKED} SELECT a.key, a.member, rr AS rank FROM asked a LEFT JOIN ({_RANK}) q ON a.key = q.key AND a.member = q.member")),
+    "zscore": (_z(lambda z: Z.zscore(z, _every(z))), sql("z", f", {_EVERY} SELECT a.key, a.member, z.score FROM asked a LEFT JOIN z ON a.key = z.key AND a.member = z.member")),
+    "zrank": (_z(lambda z: Z.zrank(z, _every(z))), sql("z", f", {_EVERY} SELECT a.key, a.member, r AS rank FROM asked a LEFT JOIN ({_RANK}) q ON a.key = q.key AND a.member = q.member")),
+    "zrevrank": (_z(lambda z: Z.zrank(z, _every(z), True)), sql("z", f", {_EVERY} SELECT a.key, a.member, rr AS rank FROM asked a LEFT JOIN ({_RANK}) q ON a.key = q.key AND a.member = q.member")),
     "zrange": (_z(lambda z: Z.zrange(z, _keys(None, z, start=2, stop=6))), sql("z", f"SELECT key, r AS rank, member, score FROM ({_RANK}) WHERE r BETWEEN 2 AND 6")),
     "zrange_neg_index": (_shown(False), sql("z", f"SELECT key, r AS rank, member, score FROM ({_RANK}) WHERE r BETWEEN greatest(n - 5, 0) AND n - 2")),
     "zrevrange": (_shown(True), sql("z", f"SELECT key, rr AS rank, member, score FROM ({_RANK}) WHERE rr BETWEEN greatest(n - 5, 0) AND n - 2")),
@@ -91,12 +97,14 @@ QUERIES = {
     "sadd": (_s(lambda s: S.sadd(s, s.select("key", F.lit("new").alias("member")).union(s))), sql("s", "SELECT * FROM s UNION SELECT key, 'new' FROM s")),
     "srem": (_s(lambda s: S.srem(s, s.where("member like '%7'"))), sql("s", "SELECT * FROM s WHERE member NOT LIKE '%7'")),
     "scard": (_s(S.scard), sql("s", "SELECT key, count(*) AS card FROM s GROUP BY key")),
-    "smembers": (_s(lambda s: S.smembers(s, s.where("key like '1995-0%'"))), sql("s", "SELECT * FROM s WHERE key LIKE '1995-0%'")),
+    "smembers": (_s(lambda s: S.smembers(s, s.select("key").union(s.select(F.lit("none").alias("key")).distinct()))), sql("s", "SELECT * FROM s")),
     "sismember": (_s(lambda s: S.sismember(s, s.select("key", F.lit("7").alias("member")).distinct())), sql("s", "SELECT k.key, '7' AS member, CAST(EXISTS (SELECT 1 FROM s WHERE s.key = k.key AND s.member = '7') AS INT) AS is_member FROM (SELECT DISTINCT key FROM s) k")),
     "sunion": (lambda spark, d: S.sunion(A.sets(spark, d), _inputs(spark, _SET_IN, _SET_SCHEMA)), sql("s", f", {_SET_SQL} SELECT DISTINCT dst AS key, member FROM s JOIN i USING (key)")),
     "sinter": (lambda spark, d: S.sinter(A.sets(spark, d), _inputs(spark, _SET_IN, _SET_SCHEMA).select("dst", "key")), sql("s", f", {_SET_SQL}, n AS (SELECT dst, count(*) AS n FROM i GROUP BY dst) SELECT dst AS key, member FROM s JOIN i USING (key) JOIN n USING (dst) GROUP BY 1, 2, n.n HAVING count(*) = n.n")),
     "sdiff": (lambda spark, d: S.sdiff(A.sets(spark, d), _inputs(spark, _SET_IN, _SET_SCHEMA)), sql("s", f", {_SET_SQL} SELECT dst AS key, member FROM s JOIN i USING (key) WHERE pos = 0 EXCEPT SELECT dst, member FROM s JOIN i USING (key) WHERE pos > 0")),
     "sdiffstore": (lambda spark, d: S.stored_as(A.sets(spark, d), S.sdiff(A.sets(spark, d), _inputs(spark, [("1995-01", "1995-01", 0), ("1995-01", "1995-02", 1)], _SET_SCHEMA)), _inputs(spark, [("1995-01",)], "key string")), sql("s", "SELECT * FROM s WHERE key <> '1995-01' UNION ALL (SELECT '1995-01', member FROM s WHERE key = '1995-01' EXCEPT SELECT '1995-01', member FROM s WHERE key = '1995-02')")),
+    "sunionstore": (lambda spark, d: S.stored_as(A.sets(spark, d), S.sunion(A.sets(spark, d), _inputs(spark, [("1995-01", "1995-02", 0), ("1995-01", "1996-05", 1), ("new", "1995-01", 0)], _SET_SCHEMA)), _inputs(spark, [("1995-01",), ("new",)], "key string")), sql("s", "SELECT * FROM s WHERE key <> '1995-01' UNION ALL SELECT DISTINCT '1995-01', member FROM s WHERE key IN ('1995-02','1996-05') UNION ALL SELECT 'new', member FROM s WHERE key = '1995-01'")),
+    "sinterstore": (lambda spark, d: S.stored_as(A.sets(spark, d), S.sinter(A.sets(spark, d), _inputs(spark, [("1995-01", "1995-02", 0), ("1995-01", "1996-05", 1), ("1995-03", "1995-03", 0), ("1995-03", "none", 1)], _SET_SCHEMA).select("dst", "key")), _inputs(spark, [("1995-01",), ("1995-03",)], "key string")), sql("s", "SELECT * FROM s WHERE key NOT IN ('1995-01','1995-03') UNION ALL (SELECT '1995-01', member FROM s WHERE key = '1995-02' INTERSECT SELECT '1995-01', member FROM s WHERE key = '1996-05')")),
     "smove": (_s(lambda s: S.smove(s, s.where("key = '1995-01'").select(F.col("key").alias("src"), F.lit("1995-02").alias("dst"), "member"))), sql("s", "SELECT * FROM s WHERE key <> '1995-01' UNION SELECT '1995-02', member FROM s WHERE key = '1995-01'")),
     "sscan_page": (_s(lambda s: S.sscan(s, 3, 10, "1?*").select("key", "at", "member")), sql("s", 'SELECT key, "at", member FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY member) - 1 AS "at" FROM s) WHERE "at" BETWEEN 3 AND 12 AND regexp_full_match(member, \'1.+\')')),
     "spop_invariants": (_s(lambda s: S.scard(S.spop(s, 5, 1)[0]).join(S.scard(S.spop(s, 5, 1)[1]).withColumnRenamed("card", "rest"), "key", "left").select("key", "card", F.coalesce("rest", F.lit(0)).alias("rest"))), sql("s", "SELECT key, least(count(*), 5) AS card, greatest(count(*) - 5, 0) AS rest FROM s GROUP BY key")),

@@ -6,7 +6,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from keystrata.functions.glob import matches, matches_any, regex
+from keystrata.functions import places
+from keystrata.functions.glob import literal_prefix, matched, matches, regex
 from keystrata.operators import admin, bitmaps, geo, hashes, keys, lists, pubsub, sets, sketches, streams, strings, transactions, zsets
 
 NOW = 1_000_000
@@ -25,11 +26,65 @@ def test_glob():
 
 def test_glob_columns(spark):
     df = spark.createDataFrame([("abc", "a*"), ("a.c", "a.?"), ("x", "y"), ("a(c", "a(*")], "c string, p string")
-    assert rows(df.where(matches_any(F.col("c"), F.col("p"))), "c") == [("a(c",), ("a.c",), ("abc",)]
+    assert rows(matched(df, "c", df, "p")) == [("a(c", "a(*"), ("a(c", "a*"), ("a.c", "a*"), ("a.c", "a.?"), ("abc", "a*")]
+    globs = spark.createDataFrame([("[a-c]bc",), ("[^a]*",), (r"\*",), ("abcdefghijkl*",), ("*",), ("?",)], "p string")
+    texts = spark.createDataFrame([("abc",), ("*",), ("abcdefghijklm",), ("",), (None,)], "c string")
+    assert rows(matched(texts, "c", globs, "p")) == sorted([("abc", "[a-c]bc"), ("abc", "*"), ("*", "[^a]*"), ("*", r"\*"), ("*", "*"), ("*", "?"), ("abcdefghijklm", "abcdefghijkl*"), ("abcdefghijklm", "*"), ("", "*")])
+    assert [literal_prefix(p) for p in ("ab*", r"a\*b?", "[x]", "")] == ["ab", "a*b", "", ""]
     assert rows(df.where(matches("c", "a*")), "c") == [("a(c",), ("a.c",), ("abc",)]
     assert rows(df.where(matches("c", "x")), "c") == [("x",)]
 
 
+def test_places_in_ranges(spark, monkeypatch):
+    rng = random.Random(4)
+    data = [(rng.choice(["hot", "hot", "hot", "a", "b"]), f"m{i}", float(rng.choice([1, 1, 1, rng.randint(0, 50)]))) for i in range(3000)]
+    z = spark.createDataFrame(data, "key string, member string, score double")
+    want = {}
+    for k in ("hot", "a", "b"):
+        for n, (_, m, _) in enumerate(sorted((r for r in data if r[0] == k), key=lambda r: (r[2], r[1]))):
+            want[k, m] = n
+    for piece in (100, 10**6):  # the members of a key go in some thirty ranges, or in one
+        monkeypatch.setattr(places, "PIECE", piece)
+        got = places.numbered(z, ["score", "member"], "rank")
+        assert {(r["key"], r["member"]): r["rank"] for r in got.collect()} == want
+        assert {(r["key"], r["length"]) for r in got.collect()} == {(k, sum(d[0] == k for d in data)) for k in ("hot", "a", "b")}
+    one = spark.range(100_000).select(F.lit("k").alias("key"), F.col("id").cast("string").alias("member"), (F.col("id") % 977).cast("double").alias("score"))
+    monkeypatch.setattr(places, "PIECE", 10_000)
+    asked = spark.createDataFrame([("k", "0"), ("k", "977"), ("k", "1"), ("k", "none"), ("other", "0")], "key string, member string")
+    assert zsets.zrank(one, asked).count() == 5
+    assert {r["member"]: r["rank"] for r in zsets.zrank(one, asked).where("key = 'k'").collect()} == brute_ranks(100_000, 977, ["0", "977", "1", "none"])
+
+
+def brute_ranks(n, m, asked):
+    order = {x: i for i, x in enumerate(sorted(map(str, range(n)), key=lambda x: (int(x) % m, x)))}
+    return {x: order.get(x) for x in asked}
+
+
+def test_conflicts_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(transactions, "RANGE", 16)
+    rng = random.Random(5)
+    writes = [(s, rng.randrange(12), rng.choice("aab")) for s in range(200)]
+    watches = [(t, rng.choice("abc"), a, a + rng.randint(-3, 40)) for t in range(14) for a in [rng.randrange(200)] for _ in range(2)]
+    want = {t for t, k, a, b in watches for s, by, key in writes if key == k and by != t and a < s < b}
+    got = transactions.conflicts(spark.createDataFrame(watches, "txn long, key string, watch_seq long, exec_seq long"), spark.createDataFrame(writes, "seq long, txn long, key string"))
+    assert {r["txn"] for r in got.collect()} == want
+
+
+def test_stored_sets_and_databases(spark):
+    s = spark.createDataFrame([("a", "1"), ("b", "2")], "key string, member string")
+    empty = sets.sinter(s, spark.createDataFrame([("a", "a"), ("a", "b")], "dst string, key string"))
+    assert rows(sets.stored_as(s, empty, spark.createDataFrame([("a",)], "key string"))) == [("b", "2")]
+    k = spark.createDataFrame([("x", 0), ("y", 1)], "key string, db int")
+    assert rows(admin.selected(k, 1)) == [("y",)] and rows(admin.flushed(k, 1)) == [("x", 0)] and rows(admin.flushed(k)) == []
+
+
+def test_automatic_stream_ids(spark):
+    x = spark.createDataFrame([("s", 100, 3, 0)], "key string, ms long, seq long, n int")
+    new = spark.createDataFrame([("s", 90, 1), ("s", 100, 2), ("s", 120, 3), ("s", 110, 4), ("t", 0, 5), ("t", 0, 6)], "key string, ms long, n int")
+    got = {r["n"]: (r["ms"], r["seq"]) for r in streams.xadd_auto(x, new, "n").collect()}
+    assert got == {0: (100, 3), 1: (100, 4), 2: (100, 5), 3: (120, 0), 4: (120, 1), 5: (0, 1), 6: (0, 2)}
+
+
 def test_set_algebra(spark):
     s = spark.createDataFrame([(k, m) for k, ms in {"k1": "abcd", "k2": "c", "k3": "ace"}.items() for m in ms], "key string, member string")
     three = spark.createDataFrame([("d", "k1", 0), ("d", "k2", 1), ("d", "k3", 2)], "dst string, key string, pos int")
