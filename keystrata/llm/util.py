@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +28,11 @@ def pieces(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder that all executors see: ``spark.checkpoint.dir``. Only where driver and executors are one process, as in tests, may it be unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = spark.conf.get("keystrata.shared.dir", None)
         if not where:
             where = "file://" + tempfile.mkdtemp(prefix="keystrata-")
@@ -45,10 +48,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Spark deletes the shuffle files of what runs inside as soon as each query ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` as written to, and read from, a Parquet table in the shared folder: lineage ends there."""
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._keystrata_path = path
     return out
@@ -61,14 +77,6 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def released(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that have run and are no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 #: Bits of the table that tells rows apart before a shuffle: 1 MB, whatever the corpus.
 SEEN_BITS = 1 << 23
 
