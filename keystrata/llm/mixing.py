@@ -115,13 +115,17 @@ def mix(spark: SparkSession, docs: DataFrame, blocks_per_doc: int = 16, most: in
 
 
 def mixed(spark: SparkSession, docs: DataFrame, blocks_per_doc: int = 16, most: int = 3) -> DataFrame:
-    """``docs`` as the mix has them: each row as often as its words are taken, a part taken counting as a whole; rows not taken go.
+    """``docs`` as the mix has them: whole rows, as often as their words are taken; rows not taken go.
 
-    Rows that repeat id and text are each given as often as the most taken of
+    What is taken of a row beyond whole copies is one more copy as often as its
+    part of the row, by a hash of the row: so sources meet their targets in
+    whole documents up to chance, and reruns agree. Rows that repeat id and text are each given as often as the most taken of
     them. Columns stay as they are.
     """
-    copies = mix(spark, docs, blocks_per_doc, most).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_copies"))
-    copies = stored(spark, copies, "mix-copies")
+    chance = F.pmod(F.xxhash64("doc_id", "h", F.lit("copies")), F.lit(1 << 30)) / (1 << 30)
+    whole = F.floor(F.col("taken") / F.col("size") + chance).cast("int")
+    copies = mix(spark, docs, blocks_per_doc, most).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.max(whole).alias("_copies"))
+    copies = stored(spark, copies.where("_copies > 0"), "mix-copies")
     # Columns go under numbers meanwhile, so that none of their names can clash.
     at = docs.columns.index
     inner = [f"c{i}" for i in range(len(docs.columns))]
