@@ -10,6 +10,7 @@ decoding returns every text exactly.
 
 from __future__ import annotations
 
+import functools
 import re
 from array import array
 from collections.abc import Iterator
@@ -32,14 +33,9 @@ class Pieces:
     """
 
     def __init__(self, names: list[str], scores: list[float], normal: list[bool], byte_ids: list[int]):
-        import ahocorasick
-
         self.names, self.byte_ids = names, byte_ids
-        self.automaton = ahocorasick.Automaton()
         usable = [i for i, ok in enumerate(normal) if ok]
-        for i in usable:
-            self.automaton.add_word(names[i], (len(names[i]), scores[i], i))
-        self.automaton.make_automaton()
+        self.words = [(names[i], (len(names[i]), scores[i], i)) for i in usable]
         self.single = {names[i] for i in usable if len(names[i]) == 1}
         self.unknown = min((scores[i] for i in usable), default=0.0) - 10.0
         apart = all(BLANK not in names[i].lstrip(BLANK) for i in usable)
@@ -51,6 +47,17 @@ class Pieces:
         self.is_byte[byte_ids] = True
         self.byte_of = {i: b for b, i in enumerate(byte_ids)}
 
+    @functools.cached_property
+    def automaton(self):
+        """Of all pieces; made when something is encoded."""
+        import ahocorasick
+
+        out = ahocorasick.Automaton()
+        for name, piece in self.words:
+            out.add_word(name, piece)
+        out.make_automaton()
+        return out
+
     @classmethod
     def load(cls, file: str) -> Pieces:
         """The model in a file; a task reads its own, so that idle workers hold none."""
@@ -130,13 +137,23 @@ class Pieces:
         return raw.decode("utf-8", "surrogatepass")[1:]
 
 
+def free_name(rows: DataFrame, name: str) -> str:
+    """``name``, or with the first number behind it that makes it a name of no column; Spark's names differ by more than case."""
+    taken = {c.lower() for c in rows.columns}
+    tries = [name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))]
+    return next(n for n in tries if n.lower() not in taken)
+
+
 def encoded(docs: DataFrame, file: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with a column of its texts' piece ids, array<int>; null for a null text, empty for an empty one.
 
-    ``file``: the model's path, which every executor can read. A column of the
-    name ``ids`` is replaced; every other is kept as it is.
+    ``file``: the model's path, which every executor can read. All columns of
+    ``docs`` are kept; where one is named ``ids`` already, the new one is called
+    by the first free of ``ids_1``, ``ids_2``. Rows that are repeated get equal
+    ids; a very long text is encoded whole; of equal scores the segmentation
+    with the longer last pieces wins; an empty table gives no rows.
     """
-    kept = docs.drop(ids)
+    kept, ids = docs, free_name(docs, ids)
     schema = f"{kept._jdf.schema().toDDL()}, `{ids}` array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +171,8 @@ def encoded(docs: DataFrame, file: str, text: str = "text", ids: str = "ids") ->
 
 
 def decoded(rows: DataFrame, file: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``rows`` with a column of the texts that its piece ids stand for; null for null."""
-    kept = rows.drop(text)
+    """``rows`` with a column of the texts that its piece ids stand for; null for null. A name that is taken gets a number, as in :func:`encoded`."""
+    kept, text = rows, free_name(rows, text)
     schema = f"{kept._jdf.schema().toDDL()}, `{text}` string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
