@@ -251,17 +251,24 @@ def member(record: bytes) -> bytes:
     return pack.compress(record) + pack.flush()
 
 
-def written(spark: SparkSession, made: DataFrame, path: str, file_records: int = 2000) -> str:
-    """Write records to archives of ``file_records`` records at most under ``path``."""
+def written(spark: SparkSession, made: DataFrame, path: str, file_bytes: int = 32 << 20) -> str:
+    """Write records under ``path`` to archives that end with the record that fills ``file_bytes``: a reader's task holds one archive at a time."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        volume = size = 0
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
-                rows = whole.slice(at, 256).column(0)
-                yield pa.RecordBatch.from_arrays([pa.array([member(r.as_py().encode("utf-8", "surrogatepass") + b"\r\n") for r in rows], pa.binary())], ["record"])
-
-    out = made.select("record").mapInArrow(packed, "record binary").select(F.col("record").cast("string"))
-    out.write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).option("maxRecordsPerFile", file_records).text(path)
+                members, volumes = [], []
+                for r in whole.slice(at, 256).column(0):
+                    members.append(member(r.as_py().encode("utf-8", "surrogatepass") + b"\r\n"))
+                    volumes.append(volume)
+                    size += len(members[-1])
+                    if size >= file_bytes:
+                        volume, size = volume + 1, 0
+                yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), pa.array(volumes, pa.int32())], ["record", "volume"])
+
+    out = made.select("record").mapInArrow(packed, "record binary, volume int").select(F.col("record").cast("string"), "volume")
+    out.write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).partitionBy("volume").text(path)
     return path
 
 

@@ -497,6 +497,18 @@ def test_mix(spark, docs, rows, none):
     assert mixing.mixed(spark, docs).columns == docs.columns
 
 
+def test_mixed_documents_meet_the_targets(spark):
+    rng = random.Random(16)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 60)), "en", rng.choice(["s1", "s1", "s1", "s2", "s3", None]), None) for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    sizes = defaultdict(int)
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(t.split())
+    got = mixing.mixed(spark, df).select("source", F.size(F.split("text", " ")).alias("n")).groupBy("source").agg(F.sum("n").alias("n")).collect()
+    want = brute_targets(dict(sizes))
+    assert {r["source"]: r["n"] for r in got} == pytest.approx(want, rel=0.06)
+
+
 def test_targets_with_capped_sources(spark):
     sizes = {"a": 1000, "b": 10, "c": 5, "d": 0, None: 40}
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
@@ -533,7 +545,9 @@ def test_pieces_find_the_best_segmentation():
 def test_pieces_round_trip(spark, docs, rows, none):
     file = tokenizer_file("piece_bpe_32k.model")
     clash = docs.selectExpr("*", "1 as ids", "2 as decoded")
-    for r in pieces.decoded(pieces.encoded(clash, file), file).collect():
+    for r in pieces.decoded(pieces.encoded(clash, file), file, ids="ids_1").collect():
+        assert (r["ids"], r["decoded"]) == (1, 2) and r["decoded_1"] == r["text"] and (r["ids_1"] is None) == (r["text"] is None)
+    for r in pieces.decoded(pieces.encoded(docs, file), file).collect():
         assert r["decoded"] == r["text"] and (r["ids"] is None) == (r["text"] is None)
     p = pieces.Pieces.load(file)
     rng = random.Random(10)
