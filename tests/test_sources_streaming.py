@@ -78,3 +78,33 @@ def test_blocking_pops(spark, tmp_path):
     run(waiting.served(entries).writeStream.format("memory").outputMode("append").queryName("popped").start())
     assert sorted((r["request"], r["value"], r["reply"]) for r in spark.sql("select * from popped").collect() if r["value"]) == [("r2", "v", "popped"), ("r3", "w", "popped")]
     assert [r["request"] for r in spark.sql("select * from popped where reply = 'timeout'").collect()] == ["r1"]
+
+
+def test_operation_logs(spark, tmp_path):
+    import random
+
+    from keystrata.sources import oplogs
+
+    rng = random.Random(3)
+    command = lambda *a: f"*{len(a)}\r\n".encode() + b"".join(b"$%d\r\n%s\r\n" % (len(x), x) for x in a)
+    commands = [[b"set", b"k%d" % i, bytes(rng.choice(b"abc") for _ in range(rng.choice([3, 3, 500, 150_000])))] for i in range(40)]
+    items = [struct.pack(oplogs.ITEM, 1, 1000 + i, 2, i, 7, 64 * i, len(command(*c))) + command(*c) for i, c in enumerate(commands)]
+    data = oplogs.fragments_of(items)
+    assert list(oplogs.items_of(data)) == items and list(oplogs.items_of(data + bytes(100))) == items
+    (tmp_path / "write2file7").write_bytes(data)
+    got = oplogs.read_items(spark, f"file://{tmp_path}").orderBy("pos").collect()
+    assert [(r["op"], *r["args"]) for r in got] == [("SET", k.decode(), v.decode()) for _, k, v in commands]
+    assert [(r["exec_time"], r["term"], r["logic_id"], r["filenum"], r["offset"]) for r in got] == [(1000 + i, 2, i, 7, 64 * i) for i in range(40)]
+    for bad in (data[:-5], data[: len(data) // 2 + 3]):
+        with pytest.raises(ValueError):
+            list(oplogs.items_of(bad))
+
+
+def test_status_texts_as_metrics(spark):
+    from keystrata.sources import oplogs
+
+    text = "# Server\r\nversion:3.5.1\r\nuptime:12\r\n\r\n# Memory\nused:10.5M\nratio: 7 %\n\n# Keyspace\ndb0:keys=5,expires=2\nnote:a:b\n"
+    df = spark.createDataFrame([("h1", text), ("h2", "x:1"), ("h3", None), ("h4", "")], "host string, text string")
+    got = list(tuple(r) for r in oplogs.metrics(df).collect() if r["host"] == "h1")
+    assert {(s, n, f, v) for _, s, n, f, v, _ in got} == {("Server", "version", None, None), ("Server", "uptime", None, 12.0), ("Memory", "used", None, 10.5), ("Memory", "ratio", None, 7.0), ("Keyspace", "db0", "keys", 5.0), ("Keyspace", "db0", "expires", 2.0), ("Keyspace", "note", None, None)}
+    assert [tuple(r) for r in oplogs.metrics(df).where("host <> 'h1'").collect()] == [("h2", None, "x", None, 1.0, "1")]
