@@ -67,7 +67,11 @@ class Pieces:
         every = range(m.get_piece_size())
         bytes_ = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         normal = [not (m.is_unknown(i) or m.is_control(i) or m.is_byte(i) or m.is_unused(i)) for i in every]
-        return cls([m.id_to_piece(i) for i in every], [m.get_score(i) for i in every], normal, bytes_)
+        scores = [m.get_score(i) for i in every]
+        if all(x.is_integer() for x, ok in zip(scores, normal, strict=True) if ok):
+            # The scores of a model of merges are their ranks, not log-probabilities: the fewest pieces are best, and ranks decide between as many.
+            scores = [-1.0 + max(x, -float(len(scores))) * 1e-9 for x in scores]
+        return cls([m.id_to_piece(i) for i in every], scores, normal, bytes_)
 
     def best(self, text: str) -> tuple[int, ...]:
         """The ids of the best-scored segmentation of escaped text; of equal scores, the one whose last pieces are longer."""

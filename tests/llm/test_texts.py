@@ -542,6 +542,18 @@ def test_pieces_find_the_best_segmentation():
         assert p.best(t) == brute_best(p, t)
 
 
+def test_pieces_of_a_model_of_merges_are_the_fewest():
+    import sentencepiece
+
+    file = tokenizer_file("piece_bpe_32k.model")
+    p, library = pieces.Pieces.load(file), sentencepiece.SentencePieceProcessor(model_file=file)
+    rng = random.Random(17)
+    for _ in range(200):
+        t = " ".join("".join(rng.choice(["the", "tion", "er", "in", "ou", "w", "é"]) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 8)))
+        ids = p.encode(t)
+        assert "".join(library.id_to_piece(i) for i in ids) == "▁" + t.replace(" ", "▁") and len(ids) <= len(library.encode(t))
+
+
 def test_pieces_round_trip(spark, docs, rows, none):
     file = tokenizer_file("piece_bpe_32k.model")
     clash = docs.selectExpr("*", "1 as ids", "2 as decoded")
