@@ -246,5 +246,5 @@ def placed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, file: str, end_id: int) -> DataFrame:
-    """Write the ids of all documents and read them back; a table without rows gives none."""
+    """Write the ids of all documents and read them back: see :func:`written` and :func:`placed`. Other columns of ``docs``, of whatever name, are left out; a table without rows gives none."""
     return placed(spark, written(spark, docs, file, end_id, new_path(spark, "tokens")))

@@ -35,6 +35,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(spark, df.limit(0)).count() == 0
 
 
+def test_warc_leaves_other_columns_out(spark):
+    _, df = pages(spark)
+    more = df.selectExpr("*", *(f"'x' as `{n}`" for n in ("record", "n", "digest", "refers_to", "p", "d", "volume", "copies")))
+    key = lambda d: sorted(map(repr, d.drop("file", "offset", "block").collect()))
+    assert key(warc.round_trip(spark, more)) == key(warc.round_trip(spark, df))
+
+
 def one(n, body=b"hello"):
     digest = hashlib.sha256(body).hexdigest()
     return f"WARC/1.0\r\nWARC-Type: response\r\nX-Page: {n}\r\nWARC-Block-Digest: sha256:{digest}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"

@@ -627,6 +627,23 @@ def test_clashing_column_names(spark, rows):
         assert all(r[n] == r["doc_id"] + i for r in out.collect() for i, n in enumerate(names))
 
 
+def test_operators_leave_other_columns_out(spark, rows):
+    names = ["ids", "part", "seq", "n_tokens", "start", "h", "s", "n", "rank", "lang_pred", "score", "at", "tail"]
+    plain = spark.createDataFrame(rows, SCHEMA)
+    df = plain.selectExpr("*", *(f"'x' as `{n}`" for n in names))
+    file = tokenizer_file("byte_bpe_50k.json")
+    assert sorted(map(tuple, token_files.round_trip(spark, df, file, 2).collect())) == sorted(map(tuple, token_files.round_trip(spark, plain, file, 2).collect()))
+    one, two = (sorted(map(tuple, langid.predicted(spark, d, d).collect())) for d in (df, plain))
+    assert one == two and len(one) == len(rows)
+
+
+def test_language_of_long_and_repeated_texts(spark):
+    rows = [(i, f"{w} " * 40, w) for i in range(40) for w in ("alpha", "omega")]
+    docs = spark.createDataFrame(rows + [(100, "omega " * 300_000, None), (101, "omega " * 300_000, None), (101, "omega " * 300_000, None)], "doc_id long, text string, lang string")
+    got = langid.predicted(spark, docs, docs).where("doc_id >= 100").collect()
+    assert len(got) == 3 and {r["lang_pred"] for r in got} == {"omega"} and len({r["score"] for r in got}) == 1
+
+
 def test_jaccard_join_over_many_hand_overs(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(setjoin, "HELD", 300)
     monkeypatch.setattr(setjoin, "COMMON", 3)
