@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,14 +92,21 @@ def fragments(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, .
 
 
 def _slices(whole: pa.RecordBatch):
-    """Slices of about BATCH_BYTES, with the texts as bytes."""
-    raw = [t or b"" for t in whole.column("text").to_pylist()]
-    at = held = 0
-    for i, t in enumerate(raw):
-        held += len(t)
-        if held >= BATCH_BYTES or i == len(raw) - 1:
-            yield at, raw[at : i + 1]
-            at, held = i + 1, 0
+    """(place, texts as bytes) of slices of about BATCH_BYTES: no more of a batch is unpacked at once."""
+    text = whole.column("text")
+    size = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(size):
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH_BYTES, side="right")))
+        yield at, [t or b"" for t in text.slice(at, stop - at).to_pylist()]
+        at = stop
+
+
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def _found(length: int, gram: int):
@@ -269,7 +277,7 @@ def _regions(runs: DataFrame, rows: DataFrame, length: int, least: int) -> DataF
     """(id, h, off, text): what the repeated strings of ``length`` bytes cover, where that is ``least`` bytes or more: longer repeated strings are in there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             for i, h, text, at, count in zip(b.column("id").to_pylist(), b.column("h").to_pylist(), b.column("text"), b.column("at").to_pylist(), b.column("len").to_pylist(), strict=True):
                 cuts = [(s, e) for s, e in _removed(at, count, length) if e - s >= least]
                 if cuts:
@@ -353,7 +361,7 @@ def digests(spark: SparkSession, docs: DataFrame, length: int = 400, gram: int =
     kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             rows = []
             for text, at, count, p_at, p_count in zip(b.column("_text"), *(b.column(c).to_pylist() for c in ("_at", "_len", "_p_at", "_p_len")), strict=True):
                 text = text.as_py() or b""
@@ -382,7 +390,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, length: int = PASSAGE, gr
     numbered = docs.toDF(*inner).withColumns({"doc_id": F.col(f"c{names.index('doc_id')}"), "text": F.col(f"c{text_at}")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             new = []
             for text, at, count in zip(b.column("_text"), b.column("_at").to_pylist(), b.column("_len").to_pylist(), strict=True):
                 text = text.as_py()

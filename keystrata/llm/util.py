@@ -48,22 +48,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Settings that a table is written under: Spark deletes a query's shuffle files as soon as it ends, not when the driver happens to collect its garbage, and Python gets texts in batches of bounded size.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
 @contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """Spark deletes the shuffle files of what runs inside as soon as each query ends, not when the driver happens to collect its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def settings(spark: SparkSession):
+    """``WRITING`` for the queries that run inside."""
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` as written to, and read from, a Parquet table in the shared folder: lineage ends there."""
     path = new_path(spark, name)
-    with shuffles_dropped(spark):
+    with settings(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._keystrata_path = path
