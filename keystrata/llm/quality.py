@@ -21,6 +21,8 @@ VECTOR = {"mean_word": 0.05, "symbols": 0.05, "dup_lines": 0.12, "repeats": 0.12
 #: Clean lines and words that a text counts as having besides its own: one repeated line of a short text is little evidence.
 LINES, WORDS = 10, 100
 DIMS = len(VECTOR)
+#: Estimates, of some 200 bytes each, that may be broadcast.
+FEW = 50_000
 #: Fixed-point units of the vector: sums of integers don't depend on their order.
 UNIT = 4096
 _POS_BITS = 20
@@ -197,15 +199,18 @@ def _mcd(spark: SparkSession, vectors: DataFrame, prior: float, half: float, ste
     mid = mid.selectExpr("level", "g", "0 as start", *(f"m{i}" for i in range(DIMS)), *(f"{floors[i] if i == j else 0.0!r}D as l{i}{j}" for i, j in _pairs()), "0.0D as log_det")
     factored = lambda sums: _factored(_leaning(sums, prior), "level", "g", "start")
     now = stored(spark, mid.unionByName(factored(sums)), "quality-estimate")
+    # Estimates are broadcast while they are a few MB, so that the rows of a large group stay where they are; beyond that Spark joins as it can.
+    few = now.count() <= FEW
+    met = lambda now: _bucketed(rows.join(F.broadcast(now) if few else now, ["level", "g"]))
     for _ in range(steps):
         # One pass: the moments of every bucket of distances, then those of the buckets up to the limit.
-        near = _bucketed(rows.join(now, ["level", "g"])).groupBy(*keys, "bucket").agg(*_moments())
+        near = met(now).groupBy(*keys, "bucket").agg(*_moments())
         inside = _upto(near, half, *keys).groupBy(*keys).agg(*(F.expr(f"sum({c}) as {c}") for c in ("n", *(f"s{s}" for s in _names()))))
         now = stored(spark, factored(inside), "quality-estimate")
     best = now.groupBy("level", "g").agg(F.expr("min_by(start, struct(log_det, start)) as start"))
     now = stored(spark, now.join(best, ["level", "g", "start"]), "quality-estimate")
     # Scaled so that the median distance is what a normal distribution has, but never shrunk below the floors' spread.
-    near = _bucketed(rows.join(now, ["level", "g"])).groupBy(*group, "bucket").agg(F.expr("count(1) as n"))
+    near = met(now).groupBy(*group, "bucket").agg(F.expr("count(1) as n"))
     mid = _upto(near, 0.5, *group).groupBy(*group).agg(F.expr("cast(max(bucket) as double) as at"), F.expr("first(whole) as n"))
     for level, above in ((1, "0"), (2, "g1")):
         mid = mid.selectExpr("*", f"max(if(level = {level - 1}, at, null)) over (partition by {above}) as top")
